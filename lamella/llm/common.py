@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -24,15 +26,30 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     """The URI of a new folder under the shared one."""
     base = shared_dir(spark)
     uri = f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/lamella-{what}-{uuid.uuid4().hex[:12]}"
-    fs, path = pafs.FileSystem.from_uri(uri.replace("file:/", "file:///") if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+    fs, path = opened(uri)
     fs.create_dir(path, recursive=True)
+    _made.append(uri)
     return uri
 
 
+_made: list[str] = []
+
+
+def _forget() -> None:
+    for uri in _made:
+        with contextlib.suppress(OSError):
+            fs, path = opened(uri)
+            fs.delete_dir(path)
+
+
+atexit.register(_forget)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; its lineage ends there, so lost executors cost nothing before it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and kept as Parquet in the shared folder until the driver ends; its lineage ends there, so a lost executor costs nothing made before it."""
+    uri = fresh_dir(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
 def opened(uri: str):
