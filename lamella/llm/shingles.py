@@ -56,14 +56,18 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word and where each text's words begin (one more entry than texts). Without fold, case counts."""
+#: Bytes between words of letters and digits alone: ASCII other than letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word and where each text's words begin (one more entry than texts). between tells the bytes that part words."""
     n = len(raw)
     first = np.zeros(len(offsets), np.int64)
     none = np.zeros(0, np.int64)
     if not n:
         return none.astype(np.uint64), none, none, first
-    solid = ~_SPACE[raw]
+    solid = ~between[raw]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     inner = offsets[(offsets > 0) & (offsets < n)]
@@ -81,16 +85,12 @@ def words(raw: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.n
     which = np.repeat(np.arange(len(starts)), length)
     heads = np.cumsum(length) - length
     place = np.arange(len(kept)) - heads[which]
-    table = _BYTE if fold else _CASED
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(table[raw[kept]] * powers(int(length.max()))[place], heads)
+        h = np.add.reduceat(_BYTE[raw[kept]] * powers(int(length.max()))[place], heads)
         h = mix64(h + length.astype(np.uint64) * _PLACE[15], 7)
     return h, starts, ends, np.searchsorted(starts, offsets)
 
 
-_CASED = np.random.default_rng(20_012).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[list[np.ndarray]]:
     """For ranges of texts in order: the sorted distinct shingle hashes of each; fewer words than width make one shingle, no words none."""
     raw, offsets = texts_of(column)
