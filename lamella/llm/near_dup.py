@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bitfilter
 from .common import stored
 from .components import components
 from .mph import mix64
@@ -25,8 +26,6 @@ BANDS, ROWS, HASHES, BITS = 25, 5, 128, 2
 WIDTH = 5
 #: Rounds of leaders before the rest is tested pair by pair, and how many tests a posting the rest may cost at most while rounds still help.
 ROUNDS, PER_POSTING = 6, 64
-#: Bits of the filter of wanted documents that goes to the workers: a fixed size, whatever the input; when it fills, more rows pass it to the exact join.
-FILTER_BITS = 1 << 24
 _rng = np.random.default_rng(8)
 _A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32)
@@ -102,18 +101,11 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def wanted_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
     """(v, set) of the documents in wanted (v): their sorted shingle hashes. A bit filter of fixed size drops most other rows before the join."""
-    bit = F.pmod(F.xxhash64("v"), F.lit(FILTER_BITS))
-    rows = wanted.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(v), {FILTER_BITS}) % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
-    mask = np.zeros(FILTER_BITS // 64, np.int64)
-    got = rows.toPandas()  # at most FILTER_BITS / 64 rows
-    mask[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)
-    bits = docs.sparkSession.sparkContext.broadcast(mask)
+    bits = bitfilter.build(wanted.select("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bits.value.view(np.uint64)
         for b in batches:
-            place = b.column(2).to_numpy()
-            hit = (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+            hit = bitfilter.hits(bits.value, b.column(2).to_numpy())
             if not hit.any():
                 continue
             b = b.filter(pa.array(hit))
@@ -125,7 +117,7 @@ def wanted_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> D
                 at += len(sets)
 
     d = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("v"), F.col(text).alias("text"))
-    found = d.withColumn("bit", bit.cast("long")).mapInArrow(run, "v long, set array<long>")
+    found = d.withColumn("bit", bitfilter.place(F.col("v"))).mapInArrow(run, "v long, set array<long>")
     return stored(found.join(wanted.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]))
 
 
