@@ -38,7 +38,7 @@ def time_text(value: Column, unit: str = "micros") -> Column:
 def unsigned_text(value: Column, bits: int = 64) -> Column:
     """A signed integer column's bits read as unsigned."""
     whole = value.cast("decimal(20,0)")
-    return F.when(value < 0, whole + F.lit(2**bits).cast("decimal(20,0)")).otherwise(whole).cast("decimal(20,0)").cast("string")
+    return F.when(value < 0, whole + F.lit(str(2**bits)).cast("decimal(20,0)")).otherwise(whole).cast("decimal(20,0)").cast("string")
 
 
 def decimal_text(unscaled: Column, scale: int) -> Column:
