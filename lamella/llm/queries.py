@@ -98,4 +98,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removals(table(spark, sf_dir, "documents")).drop("kept_text")
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"), texts=False)

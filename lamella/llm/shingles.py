@@ -12,8 +12,8 @@ import pyarrow as pa
 
 from .mph import mix64
 
-#: Texts are taken together up to so many bytes.
-CHUNK = 2 << 20
+#: Texts are taken together up to so many bytes, so that what is made of them stays in the processor's cache.
+CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(20_011)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)

@@ -26,7 +26,9 @@ from .shingles import chunks, texts_of
 
 LENGTH, PART = 400, 200
 #: Distinct spans of one anchor string that are compared in one block; more are compared by hashes. Bytes of spans in a block.
-MAX_SPANS, BLOCK = 2_000, 2 << 20
+MAX_SPANS, BLOCK = 500, 1 << 18
+#: Rows of a batch that are worked on at once.
+ROWS = 256
 _rng = np.random.default_rng(1_400)
 _TABLE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASES = [int(x) | 1 for x in _rng.integers(1, 1 << 63, 2, dtype=np.uint64)]
@@ -35,7 +37,7 @@ _made: dict[tuple[int, int], np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     if len(_made.get((base, 0), ())) < n:
-        p = np.full(max(n, 1 << 21), base, np.uint64)
+        p = np.full(max(n, 1 << 18), base, np.uint64)
         p[0] = 1
         _made[base, 0] = np.multiply.accumulate(p)
     return _made[base, 0][:n]
@@ -162,7 +164,7 @@ def block_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tu
 def one_block(rows: list[tuple], length: int):
     if not rows:
         return
-    rows = sorted(rows, key=lambda r: (r[1], r[2], r[3]))  # text order: what is earlier is so in the corpus
+    rows = sorted({r[:4]: r for r in rows}.values(), key=lambda r: (r[1], r[2], r[3]))  # text order: what is earlier is so in the corpus
     sizes = np.array([len(r[4]) for r in rows])
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
@@ -183,56 +185,80 @@ def runs(w: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return w[first], p[first], p[np.append(first[1:], len(p)) - 1]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def standing(b: pa.RecordBatch, length: int, part: int):
+    """For rows (d, x, text, marks, ...): bytes, offsets, and of each marked anchor the row, first and last string, hash and state."""
+    raw, offsets = texts_of(b.column(2))
+    marks = b.column(3)
+    size, code = marks.value_lengths().to_numpy(zero_copy_only=False), marks.flatten().to_numpy()
+    keys = (np.repeat(np.arange(len(size)), size) << 32) | (code >> 3)
+    order = np.argsort(keys, kind="stable")
+    keys, states = keys[order], (code & 7)[order]
+    got = []
+    for lo, hi in chunks(offsets):
+        t, place, first, last, h, _ = marked(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, part)
+        own = ((t + lo) << 32) | place
+        at = np.searchsorted(keys, own)
+        known = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own) if len(keys) else np.zeros(len(own), bool)
+        got.append(((t + lo)[known], first[known], last[known], h[known].view(np.int64), states[at[known]]))
+    return raw, offsets, *(np.concatenate(c) for c in zip(*got, strict=True))
+
+
 def repeats(docs: DataFrame, *, length: int = LENGTH, part: int = PART, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """(hit, ranges) for docs (doc_id, text): the documents with a repeated anchor string, stored with their anchors' standing, and the ranges of
     repeated strings found in blocks: d, x, a, b (strings that start at a to b). With keep_first only strings with an earlier match count."""
     shared = anchor_rows(docs, length, part, combine=True)
-    first = F.min(F.struct("d", "x", "place"))
-    spans = shared.groupBy("h", "g").agg(F.sum("n").alias("m"), first.alias("first"))
-    groups = spans.groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("k")).where("n > 1")
-    groups = stored(groups.select("h", F.when(F.col("k") > MAX_SPANS, MAX_SPANS + 1).otherwise(F.col("k")).cast("int").alias("k")))
+    groups = shared.groupBy("h", "g").agg(F.sum("n").alias("m")).groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("k")).where("n > 1")
+    groups = stored(groups.select("h", F.least("k", F.lit(MAX_SPANS + 1)).cast("int").alias("k")))
     bits = bitfilter.build(groups.select("h"))
-    a = anchor_rows(docs, length, part, wanted=bits).join(groups, "h")
-    counts = anchor_rows(docs, length, part, wanted=bits, combine=True).groupBy("h", "g").agg(F.sum("n").alias("m"), first.alias("first"))
-    a = a.join(counts.where("m > 1").withColumnRenamed("h", "h2").withColumnRenamed("g", "g2"), (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left")
+    a = stored(anchor_rows(docs, length, part, wanted=bits).join(groups, "h"))
+    counts = a.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(F.struct("d", "x", "place")).alias("first")).where("m > 1")
+    a = a.join(counts.withColumnRenamed("h", "h2").withColumnRenamed("g", "g2"), (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left")
     own = F.col("first").isNull() | (F.col("first") == F.struct("d", "x", "place"))
     copy = F.col("m").isNotNull() & (~own if keep_first else F.lit(True))
     # 1: all strings of the span go; 2: it goes to a block; 4: to the count of hashes
     state = F.when(copy, 1).otherwise(0) + F.when(own & (F.col("k") > 1), F.when(F.col("k") > MAX_SPANS, 4).otherwise(2)).otherwise(0)
-    per_doc = a.select("d", "x", F.struct("place", state.cast("int").alias("state")).alias("s")).groupBy("d", "x").agg(F.collect_list("s").alias("marks"))
-    per_doc = stored(per_doc)
+    per_doc = stored(a.select("d", "x", (F.col("place").cast("long") * 8 + state).alias("s")).groupBy("d", "x").agg(F.collect_list("s").alias("marks")))
     doc_bits = bitfilter.build(per_doc.select("x"))
-    texts = kept_by(docs.select(*ident(), "text"), doc_bits, "x").dropDuplicates(["d", "x"])
-    hit = stored(texts.join(per_doc, ["d", "x"]).select("d", "x", "text", "marks"))
+    hit = stored(kept_by(docs.select(*ident(), "text"), doc_bits, "x").join(per_doc, ["d", "x"]).select("d", "x", "text", "marks"))
 
     def cut(state: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                out = []
-                for d, x, text, marks in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                    go = {m["place"] for m in marks if m["state"] & state}
-                    if go:
-                        raw = np.frombuffer(text.encode(), np.uint8)
-                        _, place, lo, hi, h, _ = marked(raw, np.array([0, len(raw)]), length, part)
-                        out += [(int(h[i].view(np.int64)), d, x, int(lo[i]), raw[lo[i] : hi[i] + length].tobytes()) for i in range(len(place)) if int(place[i]) in go]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["h", "d", "x", "lo", "span"])
+            for b in slices(batches):
+                raw, offsets, row, first, last, h, states = standing(b, length, part)
+                go = np.flatnonzero(states & state)
+                row, first, last = row[go], first[go], last[go]
+                spans = [raw[s : e + length].tobytes() for s, e in zip(offsets[row] + first, offsets[row] + last, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[go]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(spans, pa.binary())], ["h", "d", "x", "lo", "span"])
 
         return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, w, p, early, late in block_matches(batches, length):
+        for rows, w, p, early, late in block_matches(slices(batches), length):
             go = early if keep_first else early | late
             w, a, b = runs(w[go], p[go])
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in w], pa.int64()), pa.array([rows[i][2] for i in w], pa.int64()), pa.array([rows[i][3] + int(q) for i, q in zip(w, a, strict=True)], pa.int32()), pa.array([rows[i][3] + int(q) for i, q in zip(w, b, strict=True)], pa.int32())], ["d", "x", "a", "b"])
+            lo = np.array([rows[i][3] for i in w], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in w], pa.int64()), pa.array([rows[i][2] for i in w], pa.int64()), pa.array((lo + a).astype(np.int32)), pa.array((lo + b).astype(np.int32))], ["d", "x", "a", "b"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, d, x, lo, span in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                raw = np.frombuffer(span, np.uint8)
-                at = np.arange(len(raw) - length + 1)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(Rolling(raw, 0).of(at, length).view(np.int64)), pa.array(Rolling(raw, 1).of(at, length).view(np.int64)), pa.array(np.full(n, d)), pa.array(np.full(n, x)), pa.array((at + lo).astype(np.int32))], ["h", "g", "d", "x", "a"])
+        for s in slices(batches):
+            spans = [np.frombuffer(v, np.uint8) for v in s.column(4).to_pylist()]
+            if not spans:
+                continue
+            n = np.array([len(v) - length + 1 for v in spans])
+            heads = np.cumsum([len(v) for v in spans]) - [len(v) for v in spans]
+            which = np.repeat(np.arange(len(spans)), n)
+            inner = np.arange(int(n.sum())) - (np.cumsum(n) - n)[which]
+            raw = np.concatenate(spans)
+            columns = [Rolling(raw, kind).of(heads[which] + inner, length).view(np.int64) for kind in (0, 1)]
+            take = pa.array(which)
+            lo = s.column(3).to_numpy()[which]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), s.column(1).take(take), s.column(2).take(take), pa.array((inner + lo).astype(np.int32))], ["h", "g", "d", "x", "a"])
 
     kind = "h long, d long, x long, lo int, span binary"
     found = hit.mapInArrow(cut(2), kind).repartition("h").sortWithinPartitions("h", "d", "x", "lo").mapInArrow(compare, "d long, x long, a int, b int")
@@ -244,57 +270,54 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, part: int = PART, keep_fir
     return hit, found.unionAll(more.select("d", "x", "a", F.col("a").alias("b")))
 
 
-def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, keep_first: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text (what is left, as bytes: a removed string may end within a character).
+def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, keep_first: bool = False, texts: bool = True) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept_text (what is left, as bytes: a removed string may end within a character).
 
     A byte goes if a string of length bytes that covers it also starts anywhere else in the table, the same text
     included; with keep_first, if it starts earlier in the order of doc_id and place. Texts are judged as they came. Null texts are empty; short ones lose nothing;
-    repeated rows are copies of each other, and with keep_first fare alike; other columns are not read.
+    repeated rows are copies of each other, and with keep_first fare alike; other columns are not read; an empty table gives an empty result.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hit, ranges = repeats(docs, length=length, part=part, keep_first=keep_first)
-    per_doc = ranges.groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    cuts = hit.join(per_doc, ["d", "x"], "left").select("d", "x", "text", "marks", "ranges")
-    schema = "d long, x long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
+    per_doc = ranges.groupBy("d", "x").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    cuts = hit.join(per_doc, ["d", "x"], "left").select("d", "x", "text", "marks", "a", "b")
+    schema = "d long, x long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * texts
     names = [c.split()[0] for c in schema.split(", ")]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
+            raw, offsets, row, first, last, _, states = standing(b, length, part)
+            edge = np.zeros(len(raw) + 1, np.int64)
+            go = (states & 1) == 1
+            np.add.at(edge, offsets[row[go]] + first[go], 1)
+            np.add.at(edge, offsets[row[go]] + last[go] + length, -1)
+            for k, (lo, hi) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                if lo:
+                    np.add.at(edge, offsets[k] + np.array(lo), 1)
+                    np.add.at(edge, offsets[k] + np.array(hi) + length, -1)
+            gone = np.cumsum(edge[:-1]) > 0
             out = []
-            for d, x, t, marks, found in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                raw = np.frombuffer(t.encode(), np.uint8)
-                edge = np.zeros(len(raw) + 1, np.int64)
-                whole = {m["place"] for m in marks if m["state"] & 1}
-                if whole:
-                    _, place, lo, hi, _, _ = marked(raw, np.array([0, len(raw)]), length, part)
-                    go = np.isin(place, list(whole))
-                    np.add.at(edge, lo[go], 1)
-                    np.add.at(edge, hi[go] + length, -1)
-                for r in found or ():
-                    edge[r["a"]] += 1
-                    edge[r["b"] + length] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = raw[~gone].tobytes()
-                out.append((d, x, len(raw), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(),) * 5 + (pa.string(), pa.binary()))], names)
-
-    done = cuts.mapInArrow(remove, schema)
-    lost = stored(done.where("n_removed > 0"))
+            for s, e in zip(offsets[:-1], offsets[1:], strict=True):
+                mine = gone[s:e]
+                kept = raw[s:e][~mine].tobytes()
+                out.append((e - s, mine.sum(), mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum(), hashlib.sha256(kept).hexdigest(), kept))
+            columns = [pa.array([int(r[k]) for r in out], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in out], pa.string())] + [pa.array([r[4] for r in out], pa.binary())] * texts
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names)
+
+    lost = stored(cuts.mapInArrow(remove, schema).where("n_removed > 0").dropDuplicates(["d", "x"]))
     bits = bitfilter.build(lost.select("x"))
     t = F.col("text").cast("binary")
-    rows = docs.select("doc_id", *ident(), "text").withColumn("bit_place", bitfilter.place(F.col("x")))
-    table = bits  # broadcast
+    plain = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(t, 256).alias("kept_sha256")] + [t.alias("kept_text")] * texts
+    rows = docs.select("doc_id", *ident(), *plain).withColumn("bit_place", bitfilter.place(F.col("x")))
 
-    def sort_out(hits: bool):
+    def sort_out(hits: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                m = bitfilter.hits(table.value, b.column(4).to_numpy())
+                m = bitfilter.hits(bits.value, b.column(b.num_columns - 1).to_numpy())
                 yield b.filter(pa.array(m if hits else ~m))
 
         return rows.mapInArrow(run, rows.schema)
 
-    plain = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(t, 256).alias("kept_sha256"), t.alias("kept_text")]
-    whole = sort_out(False).select("doc_id", *plain)
-    r = sort_out(True).select("doc_id", "d", "x", *plain).alias("r").join(lost.alias("l"), ["d", "x"], "left")
-    names2 = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    return whole.unionAll(r.select("r.doc_id", *(F.when(F.col("l.n_bytes").isNull(), F.col(f"r.{c}")).otherwise(F.col(f"l.{c}")).alias(c) for c in names2)))
+    whole = sort_out(False).select("doc_id", *names[2:])
+    r = sort_out(True).alias("r").join(lost.alias("l"), ["d", "x"], "left")
+    return whole.unionAll(r.select("r.doc_id", *(F.when(F.col("l.n_bytes").isNull(), F.col(f"r.{c}")).otherwise(F.col(f"l.{c}")).alias(c) for c in names[2:])))
