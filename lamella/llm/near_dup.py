@@ -3,8 +3,8 @@
 Exact copies (equal sets) are folded into one class first. Classes get 128 minima: 125 in 25 bands of 5 find candidates, and the low
 2 bits of all are packed into 256 bits, from which collision-corrected similarity is read by bit counts. A pair of
 similarity 0.85 shares no band once in two million, and falls under the estimate's floor (five deviations below) once in three.
-Groups are joined through a few leaders per bucket, found by mergeable minima; then every pair of a bucket whose
-ends are still apart is tested, so no link is lost and no group is written out pair by pair.
+Groups are joined through a few leaders per bucket, found by mergeable minima; then every pair of a bucket whose ends are
+still apart is ruled out by what is known of both against a hub, or measured. So no link is lost and no group is written out pair by pair.
 """
 
 from __future__ import annotations
@@ -121,15 +121,48 @@ def wanted_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> D
     return stored(found.join(wanted.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]))
 
 
-def confirmed(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def measured(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs (a, b) with na, nb and both: the sizes of their full sets and of the intersection; and the sets (v, set) of all their ends."""
     pairs = stored(pairs)
     if pairs.isEmpty():
-        return pairs
-    sets = wanted_sets(docs, doc_id, text, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+        return pairs.select("a", "b", *(F.lit(0).alias(c) for c in ("na", "nb", "both"))), None
+    sets = wanted_sets(docs, doc_id, text, pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "v"))
     p = pairs.join(sets.select(F.col("v").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("set").alias("sb")), "b")
-    p = p.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return stored(p.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    return stored(p.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))), sets
+
+
+def linked(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def rest_of_pairs(now: DataFrame, left: DataFrame, marks: DataFrame, sigs: list[str], known: DataFrame, sets: DataFrame | None, least: int, percent: int) -> DataFrame:
+    """Pairs of a bucket whose ends are still apart, may be linked, and have not been measured.
+
+    Against their bucket's hub most members are measured: each lacks some of its shingles and adds others. Two members that
+    share no addition differ at least by both their additions and by how much their losses differ in number. Where that is too much for a link,
+    only pairs that share an addition remain, and these are found by it. So near copies of one text are not paired off.
+    """
+    hub = known.select(F.col("a").alias("hub"), F.col("b").alias("v"), (F.col("nb") - F.col("both")).alias("add"), (F.col("na") - F.col("both")).alias("lack"), F.col("nb").alias("size"))
+    hub = hub.unionAll(known.select(F.col("b").alias("hub"), F.col("a").alias("v"), F.col("na") - F.col("both"), F.col("nb") - F.col("both"), "na"))
+    self_ = hub.select("hub").distinct().join(known.select(F.col("a").alias("hub"), F.col("na").alias("size")).unionAll(known.select(F.col("b").alias("hub"), F.col("nb").alias("size"))).distinct(), "hub")
+    hub = hub.unionAll(self_.select("hub", F.col("hub").alias("v"), F.lit(0).alias("add"), F.lit(0).alias("lack"), "size"))
+    x = stored(now.join(left.select("key", "c0"), "key").join(hub, ["hub", "v"], "left").join(marks, "v"))
+    y = x.select("key", "hub", F.col("v").alias("w"), F.col("c").alias("d"), *(F.col(s).alias(f"{s}w") for s in (*sigs, "add", "lack", "size")))
+    apart = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("c0")) | (F.col("v") < F.col("w"))) & (agreement([F.col(s) for s in sigs], [F.col(f"{s}w") for s in sigs]) >= least)
+    gap = F.col("add") + F.col("addw") + F.abs(F.col("lack") - F.col("lackw"))
+    near = F.coalesce((100 + percent) * gap <= (100 - percent) * (F.col("size") + F.col("sizew")), F.lit(True))
+    pair = [F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")]
+    out = x.where("c <> c0").alias("x").join(y.drop("hub").alias("y"), (F.col("x.key") == F.col("y.key")) & apart & near).select(*pair)
+    if sets is not None:
+        each = x.where("add > 0").select("hub", "v", "c", "c0", *sigs).distinct()
+        own = each.join(sets, "v").join(sets.select(F.col("v").alias("hub"), F.col("set").alias("hub_set")), "hub")
+        rows = stored(own.select("hub", "v", "c", "c0", *sigs, F.explode(F.array_except("set", "hub_set")).alias("shingle")))
+        often = rows.groupBy("hub", "shingle").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("hub", "shingle")
+        rows = stored(rows.join(often, ["hub", "shingle"], "left_semi"))
+        other = rows.select(F.col("hub").alias("hub2"), F.col("shingle").alias("shingle2"), F.col("v").alias("w"), F.col("c").alias("d"), *(F.col(s).alias(f"{s}w") for s in sigs))
+        more = rows.where("c <> c0").join(other, (F.col("hub") == F.col("hub2")) & (F.col("shingle") == F.col("shingle2")) & apart)
+        out = out.unionAll(more.select(*pair))
+    return out.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -144,9 +177,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     full = rows.where("n_shingles > 0")
     classes = stored(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.any_value("bands").alias("bands"), *(F.any_value(s).alias(s) for s in sigs), F.count("*").alias("n")))
     named = classes.where("v IS NOT NULL")
-    posts = named.select("v", F.explode("bands").alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    posts = stored(posts.join(shared, "key", "left_semi").select("key", "v"))
+    posts = named.select("v", "n", F.explode("bands").alias("key"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    posts = stored(posts.join(shared, "key", "left_semi").select("key", "v", "n"))
     marks = named.select("v", *sigs)
     least = floor_of(percent)
 
@@ -155,22 +188,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         p = pairs.join(marks.select(F.col("v").alias("a"), *(F.col(s).alias(f"{s}a") for s in sigs)), "a").join(marks.select(F.col("v").alias("b"), *(F.col(s).alias(f"{s}b") for s in sigs)), "b")
         return p.where(agreement([F.col(f"{s}a") for s in sigs], [F.col(f"{s}b") for s in sigs]) >= least).select("a", "b")
 
-    links, comp = None, None
+    # hub: the class of a bucket with most copies; it stays the same in all rounds
+    hubs = posts.groupBy("key").agg(F.max(F.struct("n", (-F.col("v")).alias("v")))["v"].alias("hub")).select("key", (-F.col("hub")).alias("hub"))
+    posts = stored(posts.join(hubs, "key").select("key", "v", "hub"))
     now = posts.withColumn("c", F.col("v"))
-    tried = None
+    known, links, sets, comp = None, None, None, None
     for k in range(ROUNDS):
-        order = F.struct(F.xxhash64("v", F.lit(k)), "v")
-        b = now.groupBy("key").agg(F.min("v").alias("l1"), F.max("v").alias("l2"), F.max(order)["v"].alias("l3"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
-        p = now.join(b, "key").select("v", "c", F.explode(F.array_distinct(F.array("l1", "l2", "l3") if k == 0 else F.array("l3"))).alias("l")).where("v <> l")
+        far = F.max(F.struct(F.xxhash64("v", F.lit(k)), "v"))["v"]
+        b = now.groupBy("key").agg(F.min("v").alias("l1"), far.alias("l2"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
+        p = now.join(b, "key").select("v", "c", F.explode(F.array_distinct(F.array("hub", "l1", "l2") if k == 0 else F.array("l2"))).alias("l")).where("v <> l")
         if k:
             p = p.join(comp.select(F.col("v").alias("l"), F.col("c").alias("lc")), "l").where("c <> lc")
         p = p.select(F.least("v", "l").alias("a"), F.greatest("v", "l").alias("b")).distinct()
-        if tried is not None:
-            p = p.join(tried, ["a", "b"], "left_anti")
-        p = stored(likely(p))
-        good = confirmed(docs, doc_id, text, p, percent)
-        tried = p if tried is None else tried.unionByName(p)
-        links = good if links is None else links.unionByName(good)
+        if known is not None:
+            p = p.join(known, ["a", "b"], "left_anti")
+        p, own = measured(docs, doc_id, text, likely(p))
+        good = linked(p, percent)
+        known, links = (p, good) if k == 0 else (known.unionByName(p), links.unionByName(good))
+        sets = own if sets is None else sets if own is None else sets.unionByName(own).dropDuplicates(["v"])
         labels = components(links)
         comp = stored(named.select("v").distinct().join(labels, "v", "left").select("v", F.coalesce("c", "v").alias("c")))
         now = stored(posts.join(comp, "v"))
@@ -180,13 +215,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         cost = out.join(left, "key").agg(F.sum(F.col("m").cast("double") * F.col("n")).alias("x"), F.sum("n").alias("n")).first()
         if (cost["x"] or 0) <= PER_POSTING * max(cost["n"] or 0, 100_000) or good.isEmpty():
             break
-    m = now.join(marks, "v")
-    x = m.join(left.select("key", "c0"), "key")
-    others = m.select("key", F.col("v").alias("w"), F.col("c").alias("d"), *(F.col(s).alias(f"{s}w") for s in sigs))
-    inner = (x["c"] != others["d"]) & ((others["d"] == x["c0"]) | (x["v"] < others["w"])) & (agreement([x[s] for s in sigs], [others[f"{s}w"] for s in sigs]) >= least)
-    rest = x.where(x["c"] != x["c0"]).join(others, (x["key"] == others["key"]) & inner)
-    rest = rest.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    good = confirmed(docs, doc_id, text, rest, percent)
+    good = linked(measured(docs, doc_id, text, rest_of_pairs(now, left, marks, sigs, known, sets, least, percent))[0], percent)
     if not good.isEmpty():
         labels = components(links.unionByName(good))
     changed = classes.join(labels, "v", "left").select("s1", "s2", F.coalesce("c", "v").alias("c"), "v", "n").where("n > 1 OR c <> v OR c IS NULL OR v IS NULL").select("s1", "s2", "c")
