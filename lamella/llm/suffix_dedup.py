@@ -217,7 +217,7 @@ def repeats(docs: DataFrame, *, length: int = LENGTH, part: int = PART, keep_fir
     groups = stored(groups.select("h", F.least("k", F.lit(MAX_SPANS + 1)).cast("int").alias("k")))
     bits = bitfilter.build(groups.select("h"))
     a = stored(anchor_rows(docs, length, part, wanted=bits).join(groups, "h"))
-    counts = a.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(F.struct("d", "x", "place")).alias("first")).where("m > 1")
+    counts = stored(a.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(F.struct("d", "x", "place")).alias("first")).where("m > 1"))  # so that the join below can split a hot span
     a = a.join(counts.withColumnRenamed("h", "h2").withColumnRenamed("g", "g2"), (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left")
     own = F.col("first").isNull() | (F.col("first") == F.struct("d", "x", "place"))
     copy = F.col("m").isNotNull() & (~own if keep_first else F.lit(True))
