@@ -135,32 +135,38 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def rest_of_pairs(now: DataFrame, left: DataFrame, marks: DataFrame, sigs: list[str], known: DataFrame, sets: DataFrame | None, least: int, percent: int) -> DataFrame:
+def rest_of_pairs(now: DataFrame, left: DataFrame, marks: DataFrame, copies: DataFrame, sigs: list[str], known: DataFrame, sets: DataFrame | None, least: int, percent: int) -> DataFrame:
     """Pairs of a bucket whose ends are still apart, may be linked, and have not been measured.
 
-    Against their bucket's hub most members are measured: each lacks some of its shingles and adds others. Two members that
-    share no addition differ at least by both their additions and by how much their losses differ in number. Where that is too much for a link,
+    A member's hub is the class with most copies among those that it was measured against, itself included: it lacks some of
+    the hub's shingles and adds others. Two members of one hub that share no addition differ at least by both their additions and by how much their losses differ in number. Where that is too much for a link,
     only pairs that share an addition remain, and these are found by it. So near copies of one text are not paired off.
     """
     hub = known.select(F.col("a").alias("hub"), F.col("b").alias("v"), (F.col("nb") - F.col("both")).alias("add"), (F.col("na") - F.col("both")).alias("lack"), F.col("nb").alias("size"))
     hub = hub.unionAll(known.select(F.col("b").alias("hub"), F.col("a").alias("v"), F.col("na") - F.col("both"), F.col("nb") - F.col("both"), "na"))
     self_ = hub.select("hub").distinct().join(known.select(F.col("a").alias("hub"), F.col("na").alias("size")).unionAll(known.select(F.col("b").alias("hub"), F.col("nb").alias("size"))).distinct(), "hub")
     hub = hub.unionAll(self_.select("hub", F.col("hub").alias("v"), F.lit(0).alias("add"), F.lit(0).alias("lack"), "size"))
-    x = stored(now.join(left.select("key", "c0"), "key").join(hub, ["hub", "v"], "left").join(marks, "v"))
+    most = F.max_by(F.struct("hub", "add", "lack", "size"), F.struct("n", -F.col("hub")))
+    best = hub.join(copies.select(F.col("v").alias("hub"), "n"), "hub").groupBy("v").agg(most.alias("s")).select("v", "s.*")
+    x = stored(now.drop("hub").join(left.select("key", "c0"), "key").join(best, "v", "left").join(marks, "v"))
     y = x.select("key", "hub", F.col("v").alias("w"), F.col("c").alias("d"), *(F.col(s).alias(f"{s}w") for s in (*sigs, "add", "lack", "size")))
     apart = (F.col("c") != F.col("d")) & ((F.col("d") == F.col("c0")) | (F.col("v") < F.col("w"))) & (agreement([F.col(s) for s in sigs], [F.col(f"{s}w") for s in sigs]) >= least)
     gap = F.col("add") + F.col("addw") + F.abs(F.col("lack") - F.col("lackw"))
-    near = F.coalesce((100 + percent) * gap <= (100 - percent) * (F.col("size") + F.col("sizew")), F.lit(True))
+    near = F.coalesce((F.col("x.hub") != F.col("y.hub")) | ((100 + percent) * gap <= (100 - percent) * (F.col("size") + F.col("sizew"))), F.lit(True))
     pair = [F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")]
-    out = x.where("c <> c0").alias("x").join(y.drop("hub").alias("y"), (F.col("x.key") == F.col("y.key")) & apart & near).select(*pair)
+    out = x.where("c <> c0").alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & near).select(*pair)
     if sets is not None:
-        each = x.where("add > 0").select("hub", "v", "c", "c0", *sigs).distinct()
+        each = x.where("add > 0").select("hub", "v", "c", *sigs).distinct()
         own = each.join(sets, "v").join(sets.select(F.col("v").alias("hub"), F.col("set").alias("hub_set")), "hub")
-        rows = stored(own.select("hub", "v", "c", "c0", *sigs, F.explode(F.array_except("set", "hub_set")).alias("shingle")))
-        often = rows.groupBy("hub", "shingle").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("hub", "shingle")
+        rows = stored(own.select("hub", "v", "c", *sigs, F.explode(F.array_except("set", "hub_set")).alias("shingle")))
+        # an edit adds several shingles that the same members share: one of them stands for all with the same members
+        who = [F.bit_xor(F.xxhash64(F.lit(k), "v")).alias(f"m{k}") for k in (1, 2)]
+        often = rows.groupBy("hub", "shingle").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("n"), *who).where("c1 <> c2")
+        often = often.groupBy("hub", "n", "m1", "m2").agg(F.min("shingle").alias("shingle")).select("hub", "shingle")
         rows = stored(rows.join(often, ["hub", "shingle"], "left_semi"))
         other = rows.select(F.col("hub").alias("hub2"), F.col("shingle").alias("shingle2"), F.col("v").alias("w"), F.col("c").alias("d"), *(F.col(s).alias(f"{s}w") for s in sigs))
-        more = rows.where("c <> c0").join(other, (F.col("hub") == F.col("hub2")) & (F.col("shingle") == F.col("shingle2")) & apart)
+        agree = agreement([F.col(s) for s in sigs], [F.col(f"{s}w") for s in sigs]) >= least
+        more = rows.join(other, (F.col("hub") == F.col("hub2")) & (F.col("shingle") == F.col("shingle2")) & (F.col("v") < F.col("w")) & (F.col("c") != F.col("d")) & agree)
         out = out.unionAll(more.select(*pair))
     return out.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
 
@@ -215,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         cost = out.join(left, "key").agg(F.sum(F.col("m").cast("double") * F.col("n")).alias("x"), F.sum("n").alias("n")).first()
         if (cost["x"] or 0) <= PER_POSTING * max(cost["n"] or 0, 100_000) or good.isEmpty():
             break
-    good = linked(measured(docs, doc_id, text, rest_of_pairs(now, left, marks, sigs, known, sets, least, percent))[0], percent)
+    good = linked(measured(docs, doc_id, text, rest_of_pairs(now, left, marks, named.select("v", "n"), sigs, known, sets, least, percent))[0], percent)
     if not good.isEmpty():
         labels = components(links.unionByName(good))
     changed = classes.join(labels, "v", "left").select("s1", "s2", F.coalesce("c", "v").alias("c"), "v", "n").where("n > 1 OR c <> v OR c IS NULL OR v IS NULL").select("s1", "s2", "c")
