@@ -257,6 +257,26 @@ def test_quality_without_rows_or_labels(spark, odd, none):
     assert r.count() == odd.count() and r.where("kept").count() == r.where("not base_failed").count() and r.where("h = 7 and v = 7").count() == odd.count()
 
 
+def test_threshold_between_good_and_bad():
+    clean = [k / 1000 for k in range(300)]
+    assert quality.threshold_between(clean, [-1.0, -0.2, 0.001, 0.2]) == pytest.approx((0.001 + 0.003) / 2)
+    assert quality.threshold_between(clean[:99], [-1.0, -0.2]) == -0.1 and quality.threshold_between(clean, []) == 0.003
+    assert quality.threshold_between([], [-1.0]) == quality.THRESHOLD
+
+
+def test_bad_documents_go(spark):
+    """The threshold follows from labels of even ids; labelled rows of odd ids, which it has not seen, are told apart by it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    even, odd_ids = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    parts, good = quality.fit_parts(docs, even, text="text", key="doc_id", buckets=1 << 12, max_trusted=10**6)
+    assert parts[0] == quality.fit(docs, even, buckets=1 << 12)
+    rest = even.join(good.where(quality.part_of("doc_id") == 3), "doc_id", "left_anti")
+    assert parts[3] == quality.fit(docs, rest, buckets=1 << 12) != parts[0]
+    rows = quality.rate(docs, even).where("not base_failed").join(odd_ids, "doc_id")
+    n = {(r["bad"], r["kept"]): r["n"] for r in rows.groupBy((F.col("quality") == 0).alias("bad"), "kept").agg(F.count("*").alias("n")).collect()}
+    assert n[True, True] <= 2 and n[True, False] >= 15 and (False, False) not in n
+
+
 # 6: chats
 
 
