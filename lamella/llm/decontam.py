@@ -1,8 +1,8 @@
 """Operator 4: benchmark decontamination by spaced seeds.
 
 A seed is the hash of the tokens that a fixed mask selects; tokens under its gaps may differ. Hashes of the benchmark's items
-meet those of the documents in the map task, and each hit is verified along its alignment: around it, the stretch of
-most matches where a substitution costs four of them. So no document is shuffled, and only matches leave a task.
+meet those of the documents in the map task, and each hit is verified along its whole alignment: the stretch of most
+equal tokens of which four in five are equal. So no document is shuffled, and only matches leave a task.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ SPAN = max(map(len, MASKS))
 #: Items of fewer tokens cannot be told from chance and are not searched; those shorter than a mask are met as a whole.
 MIN_TOKENS = 5
 #: A match has so many equal tokens (or all of a shorter item), at four in five of its stretch or more.
-MIN_MATCHED, COST = 10, 4
+MIN_MATCHED = 10
 #: Benchmark text that is broadcast at once; a larger benchmark is searched in blocks of items, a pass over the documents each.
 BLOCK_BYTES = 8 << 20
 FILTER = 20
@@ -97,12 +97,19 @@ def seeds(h: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndar
 
 
 def stretch(same: np.ndarray) -> tuple[int, int]:
-    """The range with the greatest count of equal tokens less COST times the others: at least four in five are equal."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -COST))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end
+    """The range with most equal tokens among all of which at least four in five are equal; of several the shortest, then the first."""
+    ones = np.flatnonzero(same)
+    if not len(ones):
+        return 0, 0
+    # from the i-th equal token to the j-th: 5 (j - i + 1) >= 4 (ones[j] - ones[i] + 1), that is u[j] >= u[i] - 1
+    u = 5 * np.arange(len(ones)) - 4 * ones
+    far = np.maximum.accumulate(u[::-1])[::-1]
+    last = np.searchsorted(-far, 1 - u, "right") - 1
+    size = last - np.arange(len(ones))
+    most = np.flatnonzero(size == size.max())
+    start, end = ones[most], ones[last[most]] + 1
+    k = int(np.argmin(end - start))
+    return int(start[k]), int(end[k])
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:

@@ -209,6 +209,49 @@ def test_benchmarks_in_blocks(spark, monkeypatch):
     assert len(decontam.blocks(bench, "item_id", "text")) > 2 and sorted(map(tuple, decontam.contamination(d, bench).collect())) == one
 
 
+def brute_stretch(same):
+    """(equal, -length, -start) of the best stretch with four in five equal, by trying all."""
+    n = len(same)
+    e = np.concatenate([[0], np.cumsum(same)])
+    return max(((int(e[y] - e[x]), x - y, -x) for x in range(n) for y in range(x + 1, n + 1) if 5 * (e[y] - e[x]) >= 4 * (y - x) and same[x] and same[y - 1]), default=(0, 0, 0))
+
+
+def test_stretches():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 5, 12, 30, 45):
+        for share in (0, 0.1, 0.2, 0.25, 0.5, 1):
+            same = r.random(n) >= share
+            x, y = decontam.stretch(same)
+            assert (int(same[x:y].sum()), x - y, -x if y else 0) == brute_stretch(same)
+
+
+def test_substituted_items(spark):
+    """Items with 10 to 20 % of their tokens substituted, at even steps and at random, against every stretch of every alignment."""
+    r = random.Random(4)
+    items = [prose(n, 200 + n) for n in (15, 20, 25, 30, 40, 55)]
+    docs = []
+    for t in items:
+        w = t.split()
+        for lost in [range(4, len(w), 5), range(9, len(w), 10), *(r.sample(range(len(w)), len(w) * p // 100) for p in (10, 15, 20) for _ in range(3))]:
+            v = [f"new{k}" if k in set(lost) else x for k, x in enumerate(w)]
+            docs.append(" ".join([*prose(r.randint(0, 9), len(docs)).split(), *v, *prose(r.randint(0, 9), 1000 + len(docs)).split()]))
+    want = set()
+    for i, d in enumerate(docs):
+        a = np.array(d.split())
+        for k, t in enumerate(items):
+            b = np.array(t.split())
+            best = (0, 0, 0)
+            for shift in range(1 - len(b), len(a)):
+                lo, hi = max(0, shift), min(len(a), shift + len(b))
+                equal, length, start = brute_stretch(a[lo:hi] == b[lo - shift : hi - shift])
+                best = max(best, (equal, length, start - lo))
+            if best[0] >= 10:
+                want.add((i, k, -best[2], -best[1], best[0]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start"], r["length"], r["n_equal"]) for r in decontam.contamination(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    assert len(want) == len(docs) and got == want
+
+
 # 5: quality rules
 
 
