@@ -22,10 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Rows without an id are kept once per text."""
-    keep = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["id"]), "left_semi").withColumn("anon", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return kept.dropDuplicates(["doc_id", "anon"]).select(*COLUMNS)
+    """One document of each group: the one with the smallest doc_id, those without an id last. A document is told by a 64-bit hash of id and text, and is kept once."""
+    d = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
+    groups = near_dup.near_duplicates(d, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = d.select("row_key", "doc_id").distinct()
+    first = F.min_by("row_key", F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row_key")
+    keep = groups.join(ids, "row_key").groupBy("component_id").agg(first).select("row_key")
+    return d.join(keep, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -555,6 +555,18 @@ def test_pipeline_stages(spark, odd, none, small):
         docs = out
 
 
+def test_pipeline_keeps_by_row(spark):
+    """Unlike texts of one id all stay; rows without an id go if they are near any row that stays, and stay once if not."""
+    own, other, alone = prose(100, 21), prose(100, 22), prose(100, 23)
+    near_alone = alone.replace(alone.split()[50], "zz")
+    rows = [(7, own), (7, other), (7, other), (7, ""), (3, SHARED), (9, EDITED), (None, SHARED), (None, alone), (None, alone), (None, near_alone), (None, EDITED), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", None) for i, t in rows], DOCS)
+    got = [tuple(r)[:2] for r in corpus_pipeline.near_duplicates(spark, docs.repartition(5), "").collect()]
+    left = [x for x in got if x[1] not in (alone, near_alone)]
+    assert sorted(left, key=str) == sorted([(7, own), (7, other), (7, ""), (3, SHARED), (None, None)], key=str)
+    assert len(got) == len(left) + 1
+
+
 def test_pipeline_against_brute_force(spark, small):
     """What each stage keeps of the smallest table, by other means."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
