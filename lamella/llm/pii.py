@@ -166,6 +166,8 @@ def train(table: list[tuple[list[str], list[str]]] | None = None) -> Crf:
 
 #: Words around a trigger that go with it, and the longest sequence; longer runs of triggers are decoded in pieces.
 AROUND, LONGEST = 3, 64
+#: Words at a cut that two pieces share; each piece tells the labels of its half of them, so a word has as many neighbours at least as half of these.
+SHARED = 4 * AROUND
 
 
 def sequences(text: str) -> Iterator[list[tuple[str, int]]]:
@@ -185,7 +187,7 @@ def sequences(text: str) -> Iterator[list[tuple[str, int]]]:
         for w, keep in zip(words, near, strict=True):
             if keep:
                 run.append(w)
-            if run and (not keep or len(run) == LONGEST):
+            if run and not keep:
                 yield run
                 run = []
         if run:
@@ -194,28 +196,41 @@ def sequences(text: str) -> Iterator[list[tuple[str, int]]]:
             at += 1
 
 
+def pieces(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, first, last) of the pieces of a run of n words; the labels from first to last, which follow on each other, are the piece's to tell."""
+    lo, first = 0, 0
+    while n - lo > LONGEST:
+        yield lo, lo + LONGEST, first, lo + LONGEST - SHARED // 2
+        first, lo = lo + LONGEST - SHARED // 2, lo + LONGEST - SHARED
+    yield lo, n, first, n
+
+
 def added_spans(field: Crf, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """What the field adds to each text's spans: decoded together, 512 sequences a batch; spans that touch a rule's are left out."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    work = [(i, s) for i, t in enumerate(texts) for s in sequences(t)]
-    work.sort(key=lambda x: len(x[1]))
-    for lo in range(0, len(work), 512):
-        part = work[lo : lo + 512]
-        x, length = padded([features([w for w, _ in s]) for _, s in part])
-        for (i, s), y in zip(part, field.decode(x, length), strict=True):
-            k = 0
-            while k < len(s):
-                name = LABELS[y[k]]
-                e = k + 1
-                if name != "O":
-                    while e < len(s) and LABELS[y[e]] == f"I-{name[2:]}":
-                        e += 1
-                    first, last = s[k][0], s[e - 1][0]
-                    a = s[k][1] + len(first) - len(first.lstrip(EDGE))
-                    b = s[e - 1][1] + len(last.rstrip(EDGE + "."))
-                    if b > a and all(b <= p or a >= q for _, p, q in base[i]):
-                        out[i].append((name[2:], a, b))
-                k = e
+    runs = [(i, s) for i, t in enumerate(texts) for s in sequences(t)]
+    told = [np.zeros(len(s), np.int64) for _, s in runs]
+    work = [(r, *p) for r, (_, s) in enumerate(runs) for p in pieces(len(s))]
+    work.sort(key=lambda w: w[2] - w[1])
+    for at in range(0, len(work), 512):
+        part = work[at : at + 512]
+        x, length = padded([features([w for w, _ in runs[r][1][lo:hi]]) for r, lo, hi, _, _ in part])
+        for (r, lo, _, first, last), y in zip(part, field.decode(x, length), strict=True):
+            told[r][first:last] = y[first - lo : last - lo]
+    for (i, s), y in zip(runs, told, strict=True):
+        k = 0
+        while k < len(s):
+            name = LABELS[y[k]]
+            e = k + 1
+            if name != "O":
+                while e < len(s) and LABELS[y[e]] == f"I-{name[2:]}":
+                    e += 1
+                first, last = s[k][0], s[e - 1][0]
+                a = s[k][1] + len(first) - len(first.lstrip(EDGE))
+                b = s[e - 1][1] + len(last.rstrip(EDGE + "."))
+                if b > a and all(b <= p or a >= q for _, p, q in base[i]):
+                    out[i].append((name[2:], a, b))
+            k = e
     return out
 
 

@@ -150,6 +150,17 @@ def test_viterbi_is_the_best_path():
     assert (c.decode(x, np.array([4]))[0] == paths[int(np.argmax(score))]).all()
 
 
+def test_long_runs_are_cut_without_loss():
+    for n in (1, 64, 65, 116, 117, 1000):
+        cuts = list(pii.pieces(n))
+        assert [k for _, _, a, b in cuts for k in range(a, b)] == list(range(n)) and all(lo <= a < b <= hi and hi - lo <= pii.LONGEST for lo, hi, a, b in cuts)
+    field = pii.train()
+    for k in range(50, 72):
+        text = " ".join([*["12"] * k, "(555)", "123-4567", *["34"] * 80])
+        at = text.index("(")
+        assert ("phone", at, at + 14) in pii.added_spans(field, [text], [[]])[0], k
+
+
 def test_pii_of_odd_rows(odd, none):
     rows = {r["doc_id"]: r for r in pii.find(odd).collect()}
     assert rows[11]["n_email"] == 1 and rows[11]["n_ip"] == 1 and rows[11]["spans"].startswith("email:5:22,ip:26:34")
