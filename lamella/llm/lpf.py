@@ -11,7 +11,7 @@ import numpy as np
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     out = np.empty(len(keys), np.int64)
     out[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])

@@ -1,17 +1,20 @@
 """Operator 1: removal of long repeated strings by longest previous factors.
 
+Equal texts are folded first: what occurs whole twice goes whole, and one of its copies stands for all against other texts.
 Any string of LENGTH bytes holds an anchor: the place of the least hash of its 200-byte parts. Equal strings have their
 anchors at the same distance, so only places with the same anchor string have to meet, and every string belongs to one anchor.
-An anchor's span is all the strings that it stands for. Spans that occur whole twice or more repeat in all their strings. Distinct spans around one
-anchor string meet in blocks, and there previous and next smaller positions in suffix order give each string's
-earlier and later matches. Anchors with more distinct spans than a block holds go string by string through a count
-of hashes, which is summed before it is shuffled; so no group of copies, however large, meets in one task.
+An anchor's span is all the strings that it stands for. A span that occurs whole twice repeats in all its strings; one of its
+places meets the other distinct spans around the same anchor string in a block, and there previous and next smaller
+positions in suffix order give each string's earlier and later matches. Where more distinct spans share an anchor string than a block
+holds, they are cut into parts whose strings share a longer one, twice over: first some STEPS[0] strings a part, then single
+strings, which repeat if they occur whole twice. So every group ends in blocks, and none, however large, meets in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,116 +28,142 @@ from .mph import mix64
 from .shingles import chunks, texts_of
 
 LENGTH, PART = 400, 200
-#: Distinct spans of one anchor string that are compared in one block; more are compared by hashes. Bytes of spans in a block.
+#: Distinct spans of one anchor string that are compared in one block; more are cut into parts. Bytes of spans in a block.
 MAX_SPANS, BLOCK = 500, 1 << 18
-#: Rows of a batch that are worked on at once.
-ROWS = 256
+#: Strings of a part, at the first and the second cut.
+STEPS = (25, 1)
+#: Rows of a batch that are worked on at once, and bytes of texts.
+ROWS, CHUNK = 256, 1 << 16
+#: Texts that a task remembers, so that it takes copies once; beyond it forgets them, which costs time and changes nothing.
+SEEN = 100_000
 _rng = np.random.default_rng(1_400)
-_TABLE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-_BASES = [int(x) | 1 for x in _rng.integers(1, 1 << 63, 2, dtype=np.uint64)]
-_made: dict[tuple[int, int], np.ndarray] = {}
+_TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = int(_rng.integers(1, 1 << 63)) | 1
+_BACK = pow(_BASE, -1, 1 << 64)
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+_made: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if len(_made.get((base, 0), ())) < n:
+    if len(_made.get(base, ())) < n:
         p = np.full(max(n, 1 << 18), base, np.uint64)
         p[0] = 1
-        _made[base, 0] = np.multiply.accumulate(p)
-    return _made[base, 0][:n]
+        _made[base] = np.multiply.accumulate(p)
+    return _made[base][:n]
 
 
-class Rolling:
-    """Hashes of any stretch of some bytes, from prefix sums of two kinds."""
+def rolling(raw: np.ndarray, part: int) -> np.ndarray:
+    """A hash of the part bytes from each place on, good in its upper bits."""
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_TABLE[raw] * _powers(_BASE, len(raw)), out=sums[1:])
+    h = sums[part:] - sums[:-part]
+    h *= _powers(_BACK, len(h))
+    return h
 
-    def __init__(self, raw: np.ndarray, kind: int):
-        self.back = pow(_BASES[kind], -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[kind][raw] * _powers(_BASES[kind], len(raw)), dtype=np.uint64)])
 
-    def of(self, start: np.ndarray, length) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            inverse = _powers(self.back, int(start.max()) + 1 if len(start) else 1)
-            return mix64((self.sums[start + length] - self.sums[start]) * inverse[start] + np.asarray(length, np.uint64), 70)
+def least(key: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w neighbouring keys."""
+    have = 1
+    while have * 2 <= w:
+        key = np.minimum(key[:-have], key[have:])
+        have *= 2
+    return np.minimum(key[: -(w - have)], key[w - have :]) if w > have else key
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, first string, last string) of each anchor of the texts in raw, in order; places count all bytes of raw."""
-    n, w = len(raw), length - part + 1
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, first string, last string, hash) of each anchor of the texts in raw, in order; places count all bytes of raw."""
     none = np.zeros(0, np.int64)
-    if n < length:
-        return none, none, none, none
-    at = np.arange(n - part + 1)
-    key = (Rolling(raw, 0).of(at, part) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)  # ties go to the first place
-    rows = -(-len(key) // w)
-    full = np.full(rows * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    full[: len(key)] = key
-    grid = full.reshape(rows, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    p = np.arange(n - length + 1)
-    place = (np.minimum(behind[p], ahead[p + w - 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[p]
-    ok = p + length <= offsets[text + 1]
-    p, place, text = p[ok], place[ok], text[ok]
-    if not len(p):
-        return none, none, none, none
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
+    if len(raw) < length:
+        return none, none, none, none, none.astype(np.uint64)
+    h = rolling(raw, part)
+    key = h & _HIGH
+    key |= np.arange(len(h), dtype=np.uint64)  # ties go to the first place
+    place = least(key, length - part + 1).astype(np.uint32)
+    new = np.empty(len(place), bool)
+    new[0] = True
+    np.not_equal(place[1:], place[:-1], out=new[1:])
+    starts = offsets[1:-1]
+    new[starts[starts < len(new)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(p)) - 1
-    return text[first], place[first], p[first], p[last]
+    last = np.append(first[1:], len(place)) - 1
+    text = np.searchsorted(offsets, first, "right") - 1
+    last = np.minimum(last, offsets[text + 1] - length)  # strings that end within the text
+    ok = last >= first
+    first, last, text = first[ok], last[ok], text[ok]
+    place = place[first].astype(np.int64)
+    return text, place, first, last, mix64(h[place], 70)
 
 
-def marked(raw: np.ndarray, offsets: np.ndarray, length: int, part: int):
-    """anchors() with the hash of each anchor string and of its span; place and strings within the text."""
-    text, place, lo, hi = anchors(raw, offsets, length, part)
-    if not len(text):
-        return text, place, lo, hi, place.astype(np.uint64), place.astype(np.uint64)
-    h = Rolling(raw, 0).of(place, part)
-    with np.errstate(over="ignore"):
-        g = mix64(Rolling(raw, 1).of(lo, hi - lo + length) ^ ((place - lo).astype(np.uint64) << np.uint64(40)), 71)
-    start = offsets[text]
-    return text, place - start, lo - start, hi - start, h, g
+def digest(raw: bytes, offset: int) -> int:
+    """64 bits of SHA-256 over a span and the place of its anchor; with the anchor string's own hash 128 bits tell spans."""
+    return int.from_bytes(hashlib.sha256(b"%d:%b" % (offset, raw)).digest()[:8], "little", signed=True)
 
 
-def ident() -> list[Column]:
-    """What tells documents apart: the id (null: the least number) and a hash of id and text. Rows with equal ids and texts fare alike."""
-    return [F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("d"), F.xxhash64("doc_id", "text").alias("x")]
+def identity(text: str = "text") -> Column:
+    """Half of the SHA-256 of a text: equal for equal texts alone."""
+    return F.unhex(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 32))
 
 
-def anchor_rows(docs: DataFrame, length: int, part: int, wanted=None, combine: bool = False) -> DataFrame:
-    """A row per anchor: h and g (hashes of the anchor string and the span), d, x and place; with combine one per batch, h and g, and their number n.
+def fresh(t: list, seen: set) -> np.ndarray:
+    """Which texts the task has not met; remembers them."""
+    out = np.zeros(len(t), bool)
+    for i, x in enumerate(t):
+        if x not in seen:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(x)
+            out[i] = True
+    return out
 
-    wanted: a bit filter on h that drops most rows which cannot be of use.
-    """
-    schema = "h long, g long, d long, x long, place int" + (", n long" if combine else "")
-    names = [c.split()[0] for c in schema.split(", ")]
+
+SPANS = "t binary, h long, g long, lo int, hi int, place int"
+
+
+def span_rows(t: pa.Array, row: np.ndarray, h: np.ndarray, raw: np.ndarray, base: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, length: int) -> pa.RecordBatch:
+    """Rows of SPANS; lo, hi and place count a text's own bytes, base is where the text begins in raw."""
+    view = raw.tobytes()
+    g = [digest(view[a:b], c) for a, b, c in zip((base + lo).tolist(), (base + hi + length).tolist(), (place - lo).tolist(), strict=True)]
+    columns = [pa.array(c.astype(np.int32)) for c in (lo, hi, place)]
+    return pa.RecordBatch.from_arrays([t.take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(g, pa.int64()), *columns], ["t", "h", "g", "lo", "hi", "place"])
+
+
+def anchor_rows(docs: DataFrame, length: int, part: int) -> DataFrame:
+    """A row of SPANS per anchor of docs (t, text); a task takes equal texts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            raw, offsets = texts_of(b.column(2))
-            d, x = b.column(0).to_numpy(), b.column(1).to_numpy()
-            parts = []
-            for lo, hi in chunks(offsets):
-                t, place, _, _, h, g = marked(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, part)
-                parts.append((h.view(np.int64), g.view(np.int64), d[lo + t], x[lo + t], place.astype(np.int32)))
-            if not parts:
-                continue
-            h, g, d2, x2, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-            out = [h, g, d2, x2, place]
-            if combine and len(h):
-                order = np.lexsort((place, x2, d2, g, h))
-                hh, gg = h[order], g[order]
-                new = np.flatnonzero(np.concatenate([[True], (hh[1:] != hh[:-1]) | (gg[1:] != gg[:-1])]))
-                out = [c[order[new]] for c in out] + [np.diff(np.append(new, len(h)))]
-            elif combine:
-                out.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
-
-    a = docs.select(*ident(), "text").mapInArrow(run, schema)
-    return a if wanted is None else kept_by(a, wanted, "h")
-
-
-def kept_by(df: DataFrame, wanted, key: str) -> DataFrame:
+            b = b.filter(pa.array(fresh(b.column(0).to_pylist(), seen)))
+            raw, offsets = texts_of(b.column(1))
+            for lo, hi in chunks(offsets, CHUNK):
+                start = offsets[lo : hi + 1] - offsets[lo]
+                mine = raw[offsets[lo] : offsets[hi]]
+                text, place, first, last, h = anchors(mine, start, length, part)
+                base = start[text]
+                yield span_rows(b.column(0), lo + text, h, mine, base, first - base, last - base, place - base, length)
+
+    return docs.select("t", "text").mapInArrow(run, SPANS)
+
+
+def parts(b: pa.RecordBatch, step: int, length: int) -> pa.RecordBatch:
+    """Rows of SPANS for the parts of the marked spans of rows (t, text, marks): strings whose distance to the anchor falls in one class of step distances.
+
+    All strings of a class hold the same length - step + 1 bytes around the anchor, whose hash is the new h.
+    """
+    raw, offsets = texts_of(b.column(1))
+    row, _, lo, hi, place = marked(b)
+    n = (place - lo) // step - (place - hi) // step + 1
+    which = np.repeat(np.arange(len(row)), n)
+    kind = ((place - hi) // step)[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]
+    row, lo, hi, place = row[which], lo[which], hi[which], place[which]
+    base, core = offsets[row], place - kind * step
+    view = raw.tobytes()
+    h = np.array([digest(view[a:e], c) for a, e, c in zip((base + core).tolist(), (base + core + length - step + 1).tolist(), (-1 - kind).tolist(), strict=True)], np.int64)
+    lo, hi = np.maximum(lo, core - step + 1), np.minimum(hi, core)
+    return span_rows(b.column(0), row, h, raw, base, lo, hi, place, length)
+
+
+def kept_by(df: DataFrame, wanted, *key: str) -> DataFrame:
     """The rows of df whose key the bit filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +173,45 @@ def kept_by(df: DataFrame, wanted, key: str) -> DataFrame:
                 yield b.filter(pa.array(hit)).select(names)
 
     names = df.columns
-    return df.withColumn("bit_place", bitfilter.place(F.col(key))).mapInArrow(run, df.schema)
+    return df.withColumn("bit_place", bitfilter.place(*(F.col(k) for k in key))).mapInArrow(run, df.schema)
+
+
+#: What is to be done with a span: all its strings repeat; it goes to a block; it is cut into parts.
+WHOLE, COMPARE, CUT = 1, 2, 4
 
 
-def block_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list, list, list, np.ndarray, np.ndarray, np.ndarray]]:
-    """For rows (h, d, x, lo, span) sorted by h, d, x and lo: blocks of whole groups, and in each the strings with an earlier or a later match."""
+def judged(spans: DataFrame, texts: DataFrame, keep_first: bool) -> DataFrame:
+    """(t, lo, hi, place, h, state) of the rows of SPANS (stored) that are not alone; the state's bits as above."""
+    place = F.xxhash64("t", "place")  # which of a span's places stands for it: any, or with keep_first the first in the order of doc_id
+    if keep_first:
+        spans = spans.join(texts.select("t", "d"), "t")
+        place = F.struct("d", "t", "place")
+    distinct = stored(spans.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")))
+    many = distinct.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    known = distinct.join(many, "h", "left").where("k IS NOT NULL OR a <> b")
+    known = stored(known.select(F.col("h").alias("h2"), F.col("g").alias("g2"), "a", (F.col("a") != F.col("b")).alias("twice"), F.coalesce("k", F.lit(1)).alias("k")))
+    bits = bitfilter.build(known.select("g2"))
+    own = place == F.col("a")
+    whole = F.col("twice") & (~own if keep_first else F.lit(True))
+    more = F.when(own & (F.col("k") > 1), F.when(F.col("k") > MAX_SPANS, CUT).otherwise(COMPARE)).otherwise(0)
+    j = kept_by(spans, bits, "g").join(known, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
+    return j.select("t", "lo", "hi", "place", "h", (F.when(whole, WHOLE).otherwise(0) + more).cast("int").alias("state")).where("state > 0")
+
+
+def per_text(marks: DataFrame) -> DataFrame:
+    """t and its marks, each once, whatever the tasks that have met the text."""
+    return marks.groupBy("t").agg(F.collect_set(F.struct("h", "lo", "hi", "place")).alias("marks"))
+
+
+def marked(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(row, h, lo, hi, place) of the marks of rows (t, text, marks)."""
+    m = b.column(2)
+    size = m.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(size)), size), *(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in m.flatten().flatten())
+
+
+def block_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For rows (h, d, t, lo, span) sorted by h: blocks of whole groups, and in each the strings with an earlier or a later match."""
     rows: list[tuple] = []
     size, last = 0, None
     for b in batches:
@@ -191,133 +254,105 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield b.slice(lo, rows)
 
 
-def standing(b: pa.RecordBatch, length: int, part: int):
-    """For rows (d, x, text, marks, ...): bytes, offsets, and of each marked anchor the row, first and last string, hash and state."""
-    raw, offsets = texts_of(b.column(2))
-    marks = b.column(3)
-    size, code = marks.value_lengths().to_numpy(zero_copy_only=False), marks.flatten().to_numpy()
-    keys = (np.repeat(np.arange(len(size)), size) << 32) | (code >> 3)
-    order = np.argsort(keys, kind="stable")
-    keys, states = keys[order], (code & 7)[order]
-    got = []
-    for lo, hi in chunks(offsets):
-        t, place, first, last, h, _ = marked(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, part)
-        own = ((t + lo) << 32) | place
-        at = np.searchsorted(keys, own)
-        known = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own) if len(keys) else np.zeros(len(own), bool)
-        got.append(((t + lo)[known], first[known], last[known], h[known].view(np.int64), states[at[known]]))
-    return raw, offsets, *(np.concatenate(c) for c in zip(*got, strict=True))
-
-
-def repeats(docs: DataFrame, *, length: int = LENGTH, part: int = PART, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(hit, ranges) for docs (doc_id, text): the documents with a repeated anchor string, stored with their anchors' standing, and the ranges of
-    repeated strings found in blocks: d, x, a, b (strings that start at a to b). With keep_first only strings with an earlier match count."""
-    shared = anchor_rows(docs, length, part, combine=True)
-    groups = shared.groupBy("h", "g").agg(F.sum("n").alias("m")).groupBy("h").agg(F.sum("m").alias("n"), F.count("*").alias("k")).where("n > 1")
-    groups = stored(groups.select("h", F.least("k", F.lit(MAX_SPANS + 1)).cast("int").alias("k")))
-    bits = bitfilter.build(groups.select("h"))
-    a = stored(anchor_rows(docs, length, part, wanted=bits).join(groups, "h"))
-    counts = stored(a.groupBy("h", "g").agg(F.count("*").alias("m"), F.min(F.struct("d", "x", "place")).alias("first")).where("m > 1"))  # so that the join below can split a hot span
-    a = a.join(counts.withColumnRenamed("h", "h2").withColumnRenamed("g", "g2"), (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left")
-    own = F.col("first").isNull() | (F.col("first") == F.struct("d", "x", "place"))
-    copy = F.col("m").isNotNull() & (~own if keep_first else F.lit(True))
-    # 1: all strings of the span go; 2: it goes to a block; 4: to the count of hashes
-    state = F.when(copy, 1).otherwise(0) + F.when(own & (F.col("k") > 1), F.when(F.col("k") > MAX_SPANS, 4).otherwise(2)).otherwise(0)
-    per_doc = stored(a.select("d", "x", (F.col("place").cast("long") * 8 + state).alias("s")).groupBy("d", "x").agg(F.collect_list("s").alias("marks")))
-    doc_bits = bitfilter.build(per_doc.select("x"))
-    hit = stored(kept_by(docs.select(*ident(), "text"), doc_bits, "x").join(per_doc, ["d", "x"]).select("d", "x", "text", "marks"))
-
-    def cut(state: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                raw, offsets, row, first, last, h, states = standing(b, length, part)
-                go = np.flatnonzero(states & state)
-                row, first, last = row[go], first[go], last[go]
-                spans = [raw[s : e + length].tobytes() for s, e in zip(offsets[row] + first, offsets[row] + last, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[go]), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(spans, pa.binary())], ["h", "d", "x", "lo", "span"])
-
-        return run
+def compared(hit: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Ranges (t, a, b) of repeated strings in the marked spans of hit (t, text, marks, d), by blocks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            raw, offsets = texts_of(b.column(1))
+            row, h, lo, hi, _ = marked(b)
+            view, take = raw.tobytes(), pa.array(row)
+            spans = [view[s:e] for s, e in zip((offsets[row] + lo).tolist(), (offsets[row] + hi + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(3).take(take), b.column(0).take(take), pa.array(lo.astype(np.int32)), pa.array(spans, pa.binary())], ["h", "d", "t", "lo", "span"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, w, p, early, late in block_matches(slices(batches), length):
             go = early if keep_first else early | late
             w, a, b = runs(w[go], p[go])
             lo = np.array([rows[i][3] for i in w], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i][1] for i in w], pa.int64()), pa.array([rows[i][2] for i in w], pa.int64()), pa.array((lo + a).astype(np.int32)), pa.array((lo + b).astype(np.int32))], ["d", "x", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][2] for i in w], pa.binary()), pa.array((lo + a).astype(np.int32)), pa.array((lo + b).astype(np.int32))], ["t", "a", "b"])
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches):
-            spans = [np.frombuffer(v, np.uint8) for v in s.column(4).to_pylist()]
-            if not spans:
-                continue
-            n = np.array([len(v) - length + 1 for v in spans])
-            heads = np.cumsum([len(v) for v in spans]) - [len(v) for v in spans]
-            which = np.repeat(np.arange(len(spans)), n)
-            inner = np.arange(int(n.sum())) - (np.cumsum(n) - n)[which]
-            raw = np.concatenate(spans)
-            columns = [Rolling(raw, kind).of(heads[which] + inner, length).view(np.int64) for kind in (0, 1)]
-            take = pa.array(which)
-            lo = s.column(3).to_numpy()[which]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), s.column(1).take(take), s.column(2).take(take), pa.array((inner + lo).astype(np.int32))], ["h", "g", "d", "x", "a"])
-
-    kind = "h long, d long, x long, lo int, span binary"
-    found = hit.mapInArrow(cut(2), kind).repartition("h").sortWithinPartitions("h", "d", "x", "lo").mapInArrow(compare, "d long, x long, a int, b int")
-    hot = hit.mapInArrow(cut(4), kind).mapInArrow(strings, "h long, g long, d long, x long, a int")
-    twice = hot.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("d", "x", "a")).alias("first")).where("n > 1").select(F.col("h").alias("h2"), F.col("g").alias("g2"), "first")
-    more = hot.join(twice, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
-    if keep_first:
-        more = more.where(F.col("first") != F.struct("d", "x", "a"))
-    return hit, found.unionAll(more.select("d", "x", "a", F.col("a").alias("b")))
+    spans = hit.select("t", "text", "marks", "d").mapInArrow(cut, "h long, d long, t binary, lo int, span binary")
+    return spans.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "t binary, a int, b int")
+
+
+def repeats(docs: DataFrame, texts: DataFrame, *, length: int = LENGTH, part: int = PART, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(hit, ranges) for docs (d, t, text) and their distinct texts (t, d): the texts with strings that may repeat elsewhere, and the ranges of
+    those that do: t, a, b (strings that start at a to b). With keep_first only strings with an earlier match count. Copies of whole texts are not looked at."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()
+        for b in batches:
+            yield b.filter(pa.array(fresh(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), seen)))
+
+    spans, hit, found = stored(anchor_rows(docs, length, part)), None, []
+    for step in (*STEPS, None):
+        marks = stored(judged(spans, texts, keep_first))
+        found.append(marks.where(F.col("state").bitwiseAND(WHOLE) > 0).select("t", F.col("lo").alias("a"), F.col("hi").alias("b")))
+        if hit is None:
+            some = stored(marks.select("t").distinct().join(texts, "t").select("t", "d"))
+            rows = kept_by(docs.select("d", "t", "text"), bitfilter.build(some.select("t")), "t")
+            hit = stored(rows.mapInArrow(once, rows.schema).join(some, ["t", "d"]).dropDuplicates(["t"]))  # repeated rows are alike; a task passes each once
+        open_ = hit.join(per_text(marks.where(F.col("state").bitwiseAND(COMPARE) > 0)), "t")
+        found.append(compared(open_, length, keep_first))
+        large = marks.where(F.col("state").bitwiseAND(CUT) > 0)
+        if step is None or large.isEmpty():
+            break
+
+        def cut(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 32):
+                yield parts(b, step, length)
+
+        spans = stored(hit.join(per_text(large), "t").select("t", "text", "marks").mapInArrow(cut, SPANS))
+    return hit, reduce(DataFrame.unionAll, found)
 
 
 def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, keep_first: bool = False, texts: bool = True) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept_text (what is left, as bytes: a removed string may end within a character).
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether anything is removed) and, with texts, kept_text (what is left, as bytes: a removed string may end within a character).
 
     A byte goes if a string of length bytes that covers it also starts anywhere else in the table, the same text
     included; with keep_first, if it starts earlier in the order of doc_id and place. Texts are judged as they came. Null texts are empty; short ones lose nothing;
     repeated rows are copies of each other, and with keep_first fare alike; other columns are not read; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    hit, ranges = repeats(docs, length=length, part=part, keep_first=keep_first)
-    per_doc = ranges.groupBy("d", "x").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    cuts = hit.join(per_doc, ["d", "x"], "left").select("d", "x", "text", "marks", "a", "b")
-    schema = "d long, x long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * texts
+    d = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), d.alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", identity())
+    long = docs.where(F.octet_length("text") >= length)
+    whole = stored(long.groupBy("t").agg(F.min("d").alias("d"), F.count("*").alias("n")))
+    hit, ranges = repeats(long, whole, length=length, part=part, keep_first=keep_first)
+    per_doc = ranges.groupBy("t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    cuts = hit.join(per_doc, "t").select("t", "text", "a", "b")
+    schema = "t binary, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * texts
     names = [c.split()[0] for c in schema.split(", ")]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            raw, offsets, row, first, last, _, states = standing(b, length, part)
-            edge = np.zeros(len(raw) + 1, np.int64)
-            go = (states & 1) == 1
-            np.add.at(edge, offsets[row[go]] + first[go], 1)
-            np.add.at(edge, offsets[row[go]] + last[go] + length, -1)
-            for k, (lo, hi) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                if lo:
-                    np.add.at(edge, offsets[k] + np.array(lo), 1)
-                    np.add.at(edge, offsets[k] + np.array(hi) + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+        for s in slices(batches):
+            raw, offsets = texts_of(s.column(1))
             out = []
-            for s, e in zip(offsets[:-1], offsets[1:], strict=True):
-                mine = gone[s:e]
-                kept = raw[s:e][~mine].tobytes()
-                out.append((e - s, mine.sum(), mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum(), hashlib.sha256(kept).hexdigest(), kept))
-            columns = [pa.array([int(r[k]) for r in out], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in out], pa.string())] + [pa.array([r[4] for r in out], pa.binary())] * texts
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names)
-
-    lost = stored(cuts.mapInArrow(remove, schema).where("n_removed > 0").dropDuplicates(["d", "x"]))
-    bits = bitfilter.build(lost.select("x"))
+            for k, (lo, hi) in enumerate(zip(s.column(2).to_pylist(), s.column(3).to_pylist(), strict=True)):
+                mine = raw[offsets[k] : offsets[k + 1]]
+                edge = np.zeros(len(mine) + 1, np.int32)
+                np.add.at(edge, np.array(lo, np.int64), 1)
+                np.add.at(edge, np.array(hi, np.int64) + length, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = mine[~gone].tobytes()
+                out.append((int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
+            columns = [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())] + [pa.array([r[3] for r in out], pa.binary())] * texts
+            yield pa.RecordBatch.from_arrays([s.column(0), *columns], names)
+
+    lost = cuts.mapInArrow(remove, schema)
+    # one row per text that loses anything or has copies
+    fate = stored(whole.where("n > 1").join(lost, "t", "full"))
+    fate = fate.select(F.col("t").alias("t2"), F.col("d").alias("first"), "n", *(F.col(c).alias(f"cut_{c}") for c in names[1:]))
     t = F.col("text").cast("binary")
-    plain = [F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(t, 256).alias("kept_sha256")] + [t.alias("kept_text")] * texts
-    rows = docs.select("doc_id", *ident(), *plain).withColumn("bit_place", bitfilter.place(F.col("x")))
-
-    def sort_out(hits: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                m = bitfilter.hits(bits.value, b.column(b.num_columns - 1).to_numpy())
-                yield b.filter(pa.array(m if hits else ~m))
-
-        return rows.mapInArrow(run, rows.schema)
-
-    whole = sort_out(False).select("doc_id", *names[2:])
-    r = sort_out(True).alias("r").join(lost.alias("l"), ["d", "x"], "left")
-    return whole.unionAll(r.select("r.doc_id", *(F.when(F.col("l.n_bytes").isNull(), F.col(f"r.{c}")).otherwise(F.col(f"l.{c}")).alias(c) for c in names[2:])))
+    rows = docs.select("doc_id", "d", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(t, 256).alias("plain_sha256"), *([t.alias("plain_text")] * texts))
+    r = rows.join(fate, F.col("t") == F.col("t2"), "left")
+    all_ = F.col("n").isNotNull() & ((F.col("d") != F.col("first")) if keep_first else F.lit(True))
+
+    def told(c: str, everything: Column, nothing: Column) -> Column:
+        return F.when(all_, everything).otherwise(F.coalesce(F.col(f"cut_{c}"), nothing)).alias(c)
+
+    none = F.lit(0).cast("long")
+    out = [told("n_removed", F.col("n_bytes"), none), told("n_spans", F.lit(1).cast("long"), none), told("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest()), F.col("plain_sha256"))]
+    if texts:
+        out.append(told("kept_text", F.lit(b""), F.col("plain_text")))
+    return r.select("doc_id", "n_bytes", *out).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), *(["kept_text"] * texts))
