@@ -117,16 +117,15 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_
     equal keys stand together and are told apart by their number; an empty table gives no shard.
     """
     spark = docs.sparkSession
-    source = bpe.read_tokenizer(tokenizer_path)
-    tokenizer, table = spark.sparkContext.broadcast(source), spark.sparkContext.broadcast(bpe.base_table(source))
+    shared = bpe.Shared(docs, text, tokenizer_path)
     from tokenizers import Tokenizer
 
-    width = 2 if max(Tokenizer.from_str(source).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(Tokenizer.from_str(shared.source).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import array
 
-        enc = bpe.worker_encoder(f"bytes{width}", tokenizer, table, lambda ids: array.array("H" if width == 2 else "I", ids).tobytes())
+        enc = shared.encoder(f"bytes{width}", lambda ids: array.array("H" if width == 2 else "I", ids).tobytes())
         end = end_id.to_bytes(width, "little")
         first = next((b for b in batches if b.num_rows), None)
         if first is None:

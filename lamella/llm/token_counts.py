@@ -1,4 +1,4 @@
-"""Operator 3: token counts by a map-side two-tier lookup. No shuffle: one narrow pass over the texts."""
+"""Operator 3: token counts by a map-side two-tier lookup. Texts and their pre-tokens are not shuffled: one narrow pass, after a look at a bounded sample."""
 
 from __future__ import annotations
 
@@ -15,17 +15,15 @@ from . import bpe
 def count_tokens(docs: DataFrame, tokenizer_path: str, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), limit: int = 1024) -> DataFrame:
     """Per row: the keys, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), in the input's partitions.
 
-    Tier one is a broadcast table of the vocabulary's own pre-tokens (bounded by the vocabulary); tier two a bounded
+    Tier one is a broadcast table of the lengths of frequent pre-tokens (see bpe.frequent for its bounds); tier two a bounded
     cache in each worker. Null texts count as empty: 0 bytes, 0 tokens. Repeated rows each give a row; other columns
     are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    source = bpe.read_tokenizer(tokenizer_path)
-    tokenizer, table = spark.sparkContext.broadcast(source), spark.sparkContext.broadcast(bpe.base_table(source))
+    shared = bpe.Shared(docs, text, tokenizer_path)
     n = len(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.worker_encoder("lengths", tokenizer, table, len)
+        enc = shared.encoder("lengths", len)
         for b in batches:
             texts = b.column(n)
             sizes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)

@@ -93,6 +93,29 @@ def test_removals_by_blocks_and_by_hashes(spark, monkeypatch):
     assert removed(d, length=60, part=30) == want
 
 
+@pytest.mark.parametrize("copies", [100, 400])
+def test_repeated_rows_are_folded(spark, copies):
+    """However many rows have one text, with or without ids, its anchors are kept once a task at most, and the copies' fate is known without comparing them."""
+    text, other = prose(400, 31), prose(30, 32) + prose(400, 31)[200:1200]
+    rows = [(None if k % 2 else k, text) for k in range(copies)] + [(10**6, other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = suffix_dedup.anchor_rows(d.withColumn("t", suffix_dedup.identity()), 400, 200)
+    assert marks.count() <= 5 * marks.select("t", "place").distinct().count()
+    assert removed(d) == brute_removals(rows, 400)
+
+
+def test_large_groups_are_cut_twice(spark, monkeypatch):
+    """A string in more contexts than a block holds, some of them the same up to a few bytes."""
+    r = random.Random(8)
+    core = prose(60, 41)
+    rows = [(i, prose(r.randint(0, 3), 50 + i % 5) + core[r.randint(0, 40) : len(core) - r.randint(0, 40)] + prose(r.randint(0, 3), 60 + i % 7)) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_removals(rows, 120)
+    for most in (1, 4, 500):
+        monkeypatch.setattr(suffix_dedup, "MAX_SPANS", most)
+        assert removed(d, length=120, part=60) == want
+
+
 def test_keep_first(spark):
     a = prose(150, 9)
     d = spark.createDataFrame([(1, prose(20, 1) + a), (2, prose(30, 2) + a), (3, a)], "doc_id long, text string")
@@ -194,6 +217,28 @@ def test_encoder_forgets_and_stays_right():
     assert len(e) <= 50_001
 
 
+def test_every_character_is_split_as_the_library_does():
+    e = bpe.Encoder(bpe.read_tokenizer(BPE), {}, list)
+    sure = [c for k in range(0x110000) if not bpe.unsure().match(c := chr(k))]
+    assert len(sure) > 1_060_000
+    for k in range(0, len(sure), 500):
+        t = "".join(f"a{c} {c}1{c}{c} " for c in sure[k : k + 500])
+        assert [i for v in e.values_of(t) for i in v] == e.tok.encode(t, add_special_tokens=False).ids
+    for t in ("Привет, мир 12", "漢字かな交じり文。 100€ 😀😀 naïve", "\u180ea \x1c b", "नमस्ते दुनिया ١٢٣", "𝒳𝟙 \u3000x"):
+        assert [i for v in e.values_of(t) for i in v] == e.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_frequent_pre_tokens(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = dict(bpe.frequent(d, "text", bpe.read_tokenizer(BPE)).items())
+    tok = Tokenizer.from_file(BPE)
+    assert 0 < len(table) <= bpe.MAX_FREQUENT and any(len(v) > 1 for v in table.values())
+    assert all(tok.encode(k, add_special_tokens=False).ids == v for k, v in list(table.items())[:3000])
+    pieces = [p for _, t in plain(d) for p in bpe.pre_tokens(t)]
+    assert sum(p in table for p in pieces) > 0.9 * len(pieces)
+    assert list(bpe.frequent(d.limit(0), "text", bpe.read_tokenizer(BPE)).items()) == []
+
+
 # 4: decontamination
 
 ITEMS = [prose(40, 100 + k) for k in range(3)] + ["seven short words make one small item", "too short"]
