@@ -52,6 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table from stored() that nothing will read again."""
+    for uri in [u for u in _made if any(f"/{u.rsplit('/', 1)[1]}/" in f for f in df.inputFiles()[:1])]:
+        _made.remove(uri)
+        with contextlib.suppress(OSError):
+            fs, path = opened(uri)
+            fs.delete_dir(path)
+
+
 def opened(uri: str):
     """(file system, path) of a URI; works for every store that pyarrow knows."""
     if uri.startswith("file:/") and not uri.startswith("file:///"):

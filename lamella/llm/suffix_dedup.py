@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitfilter
-from .common import stored
+from .common import forget, stored
 from .lpf import repeated
 from .mph import mix64
 from .shingles import chunks, texts_of
@@ -151,7 +151,7 @@ def parts(b: pa.RecordBatch, step: int, length: int) -> pa.RecordBatch:
     All strings of a class hold the same length - step + 1 bytes around the anchor, whose hash is the new h.
     """
     raw, offsets = texts_of(b.column(1))
-    row, _, lo, hi, place = marked(b)
+    row, _, lo, hi, place = marked(b, CUT)
     n = (place - lo) // step - (place - hi) // step + 1
     which = np.repeat(np.arange(len(row)), n)
     kind = ((place - hi) // step)[which] + np.arange(len(which)) - (np.cumsum(n) - n)[which]
@@ -181,33 +181,38 @@ WHOLE, COMPARE, CUT = 1, 2, 4
 
 
 def judged(spans: DataFrame, texts: DataFrame, keep_first: bool) -> DataFrame:
-    """(t, lo, hi, place, h, state) of the rows of SPANS (stored) that are not alone; the state's bits as above."""
+    """(t, lo, hi, place, h, state) of the rows of SPANS (stored, and deleted here) that are not alone; the state's bits as above."""
+    often = spans.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    some = stored(kept_by(spans, bitfilter.build(often), "h"))  # most anchor strings are alone; a few of those stay, without harm
+    forget(spans)
     place = F.xxhash64("t", "place")  # which of a span's places stands for it: any, or with keep_first the first in the order of doc_id
     if keep_first:
-        spans = spans.join(texts.select("t", "d"), "t")
+        some = some.join(texts.select("t", "d"), "t")
         place = F.struct("d", "t", "place")
-    distinct = stored(spans.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b")))
+    distinct = some.groupBy("h", "g").agg(F.min(place).alias("a"), F.max(place).alias("b"))
     many = distinct.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
     known = distinct.join(many, "h", "left").where("k IS NOT NULL OR a <> b")
     known = stored(known.select(F.col("h").alias("h2"), F.col("g").alias("g2"), "a", (F.col("a") != F.col("b")).alias("twice"), F.coalesce("k", F.lit(1)).alias("k")))
-    bits = bitfilter.build(known.select("g2"))
     own = place == F.col("a")
     whole = F.col("twice") & (~own if keep_first else F.lit(True))
     more = F.when(own & (F.col("k") > 1), F.when(F.col("k") > MAX_SPANS, CUT).otherwise(COMPARE)).otherwise(0)
-    j = kept_by(spans, bits, "g").join(known, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
+    j = some.join(known, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")))
     return j.select("t", "lo", "hi", "place", "h", (F.when(whole, WHOLE).otherwise(0) + more).cast("int").alias("state")).where("state > 0")
 
 
 def per_text(marks: DataFrame) -> DataFrame:
-    """t and its marks, each once, whatever the tasks that have met the text."""
-    return marks.groupBy("t").agg(F.collect_set(F.struct("h", "lo", "hi", "place")).alias("marks"))
+    """t and its marks, each once, whatever the tasks that have met the text; without those that only tell that a span repeats."""
+    mark = F.when(F.col("state").bitwiseAND(COMPARE + CUT) > 0, F.struct("h", "lo", "hi", "place", "state"))
+    return marks.groupBy("t").agg(F.collect_set(mark).alias("marks"))
 
 
-def marked(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(row, h, lo, hi, place) of the marks of rows (t, text, marks)."""
+def marked(b: pa.RecordBatch, bit: int) -> tuple[np.ndarray, ...]:
+    """(row, h, lo, hi, place) of the marks with this bit of rows (t, text, marks, ...)."""
     m = b.column(2)
     size = m.value_lengths().to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(size)), size), *(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in m.flatten().flatten())
+    *columns, state = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in m.flatten().flatten())
+    go = (state & bit) > 0
+    return np.repeat(np.arange(len(size)), size)[go], *(c[go] for c in columns)
 
 
 def block_matches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -260,7 +265,7 @@ def compared(hit: DataFrame, length: int, keep_first: bool) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raw, offsets = texts_of(b.column(1))
-            row, h, lo, hi, _ = marked(b)
+            row, h, lo, hi, _ = marked(b, COMPARE)
             view, take = raw.tobytes(), pa.array(row)
             spans = [view[s:e] for s, e in zip((offsets[row] + lo).tolist(), (offsets[row] + hi + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(h), b.column(3).take(take), b.column(0).take(take), pa.array(lo.astype(np.int32)), pa.array(spans, pa.binary())], ["h", "d", "t", "lo", "span"])
@@ -290,20 +295,22 @@ def repeats(docs: DataFrame, texts: DataFrame, *, length: int = LENGTH, part: in
         marks = stored(judged(spans, texts, keep_first))
         found.append(marks.where(F.col("state").bitwiseAND(WHOLE) > 0).select("t", F.col("lo").alias("a"), F.col("hi").alias("b")))
         if hit is None:
-            some = stored(marks.select("t").distinct().join(texts, "t").select("t", "d"))
+            some = stored(per_text(marks).join(texts.select("t", "d"), "t"))
             rows = kept_by(docs.select("d", "t", "text"), bitfilter.build(some.select("t")), "t")
-            hit = stored(rows.mapInArrow(once, rows.schema).join(some, ["t", "d"]).dropDuplicates(["t"]))  # repeated rows are alike; a task passes each once
-        open_ = hit.join(per_text(marks.where(F.col("state").bitwiseAND(COMPARE) > 0)), "t")
+            rows = rows.mapInArrow(once, rows.schema).join(some, ["t", "d"]).dropDuplicates(["t"])  # repeated rows are alike; a task passes each once
+            hit = open_ = stored(rows.select("t", "text", "marks", "d"))
+        else:
+            some = stored(per_text(marks.where(F.col("state").bitwiseAND(COMPARE + CUT) > 0)))
+            open_ = stored(kept_by(hit.select("t", "text", "d"), bitfilter.build(some.select("t")), "t").join(some, "t").select("t", "text", "marks", "d"))
         found.append(compared(open_, length, keep_first))
-        large = marks.where(F.col("state").bitwiseAND(CUT) > 0)
-        if step is None or large.isEmpty():
+        if step is None or marks.where(F.col("state").bitwiseAND(CUT) > 0).isEmpty():
             break
 
         def cut(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 32):
                 yield parts(b, step, length)
 
-        spans = stored(hit.join(per_text(large), "t").select("t", "text", "marks").mapInArrow(cut, SPANS))
+        spans = stored(open_.mapInArrow(cut, SPANS))
     return hit, reduce(DataFrame.unionAll, found)
 
 
