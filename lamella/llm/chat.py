@@ -83,11 +83,28 @@ def masked(formatted: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
+#: Characters of a streamed piece at least; a text comes in three pieces at most.
+PIECE = 8
+
+
 def events_of(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A log of whole messages from a table with a row per turn; rows of the same turn stay apart, in the order of role and text."""
-    nth = F.row_number().over(W.partitionBy("conv", "seq").orderBy("role", "text"))
-    e = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("seq"), F.col(role).alias("role"), F.col(text).alias("text")).repartition("conv")
-    return e.withColumn("message", nth).withColumn("message", F.struct("seq", "message")).withColumn("kind", F.lit("message"))
+    """A log whose fold is a table with a row per turn; rows of the same turn stay apart, in the order of role and text.
+
+    An assistant's message is a draft that is streamed in part, a regeneration, and the text streamed in pieces; another's is
+    a first version without its last third, and an edit. Null texts stay null, in a single event. Other columns are not read.
+    """
+    nth = F.row_number().over(W.partitionBy("conv", "turn").orderBy("role", "text"))
+    r = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).repartition("conv").withColumn("nth", nth)
+    size = F.greatest(F.lit(PIECE), F.ceil(F.length("text") / 3).cast("int"))
+    piece = [F.substr("text", k * size + 1, size) for k in range(2)] + [F.substr("text", 2 * size + 1)]
+
+    def event(step: int, kind: str, what: Column) -> Column:
+        return F.struct(F.struct("turn", F.lit(step).alias("step")).alias("seq"), F.lit(kind).alias("kind"), what.cast("string").alias("text"), F.when(F.lit(step) == 0, F.col("role")).alias("role"))
+
+    streamed = F.array(event(0, "delta", piece[1]), event(1, "delta", piece[0]), event(2, "regenerate", F.lit(None)), *(event(3 + k, "delta", p) for k, p in enumerate(piece)))
+    edited = F.array(event(0, "message", F.concat(*piece[:2])), event(1, "edit", F.col("text")))
+    log = F.when(F.col("text").isNull(), F.array(event(0, "message", F.col("text")))).when(F.col("role") == "assistant", streamed).otherwise(edited)
+    return r.select("conv", F.struct("turn", "nth").alias("message"), F.inline(log))
 
 
 #: What the query returns, by DuckDB alone.
