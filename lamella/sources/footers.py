@@ -6,10 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHUNKS = "file string, row_group int, rg_rows long, rg_bytes long, column_id int, path string, physical_type string, logical_type string, codec string, encodings string, n_values long, null_count long, min_value string, max_value string, has_dictionary boolean, compressed long, uncompressed long, first_row long, has_bloom boolean"
 FILES = "file string, n_rows long, n_row_groups int, n_columns int, created_by string, version string, footer_bytes long, file_bytes long, key_values string, columns string"
@@ -43,6 +46,19 @@ def _per_file(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
     return list_files(spark, path, recursive=True).mapInPandas(run, schema)
 
 
+def each_file(spark: SparkSession, path: str, rows, schema: str) -> DataFrame:
+    """What rows(uri, file, parquet file) yields for each file under a path, read in parallel on the executors."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for uri in frame["file"]:
+                with open_file(uri) as f:
+                    yield pd.DataFrame(list(rows(uri, f, pq.ParquetFile(f))), columns=names, dtype=object)
+
+    return list_files(spark, path, True).mapInPandas(run, schema)
+
+
 def _text(v) -> str | None:
     return None if v is None else v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v).lower() if isinstance(v, bool) else str(v)
 
@@ -103,17 +119,86 @@ def metadata_count(spark: SparkSession, path: str) -> DataFrame:
     return file_catalog(spark, path).select("file", "n_rows")
 
 
+SUMMARY = "file string, row_group int, first_row long, rg_rows long, path string, kind string, n_values long, null_count long, low binary, high binary"
+
+
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """A row per column chunk with what planning needs: place, type and statistics; bounds as the plain bytes of the footer."""
+    from .chunks import row_group_chunks
+
+    def rows(uri: str, f, meta):
+        before = 0
+        for g, chunks in enumerate(row_group_chunks(f, meta, None)):
+            n = meta.metadata.row_group(g).num_rows
+            for name, c in chunks.items():
+                yield uri, g, before, n, name, c.kind.to_json(), c.bounds.n, c.bounds.nulls, c.low, c.high
+            before += n
+
+    return each_file(spark, path, rows, SUMMARY)
+
+
 def save_summary(catalog: DataFrame, to: str) -> None:
-    """Keep a catalog, so that later plans prune without opening files: the summary of a folder."""
+    """Keep a catalog or summary, so that later plans prune without opening files: the summary of a folder."""
     catalog.write.mode("overwrite").parquet(to)
 
 
+def merge_summaries(*parts: DataFrame) -> DataFrame:
+    """The summary of several folders; one that has a file already may be given again."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.dropDuplicates(["file", "row_group", "path"])
+
+
+#: Rows of a batch that a row group is read in.
+BATCH = 65_536
+
+
+def read_row_groups(spark: SparkSession, path: str | tuple[str, ...], chosen: DataFrame, *, names: list[str] | None = None, ordinal: str | None = None) -> DataFrame:
+    """The rows of chosen row groups (file, row_group) of the tables at path: tasks open these alone and read the columns asked for.
+
+    Columns that a file lacks are null. With ordinal a column of that name tells each row's row group.
+    """
+    paths = (path,) if isinstance(path, str) else path
+    schema = spark.read.parquet(*paths).schema
+    if names is not None:
+        schema = T.StructType([schema[n] for n in names])
+    out = T.StructType([*schema.fields, T.StructField(ordinal, T.IntegerType())]) if ordinal else schema
+    arrow = to_arrow_schema(schema)
+    tasks = spark.sparkContext.defaultParallelism * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with open_file(uri) as f:
+                    p = pq.ParquetFile(f)
+                    there = set(p.schema_arrow.names)
+                    for part in p.iter_batches(BATCH, row_groups=[g], columns=[n for n in arrow.names if n in there]):
+                        columns = [fitted(part.column(n), arrow.field(n).type) if n in there else pa.nulls(part.num_rows, arrow.field(n).type) for n in arrow.names]
+                        if ordinal:
+                            columns.append(pa.array([g] * part.num_rows, pa.int32()))
+                        yield pa.RecordBatch.from_arrays(columns, [*arrow.names, *([ordinal] if ordinal else [])])
+
+    return chosen.select("file", "row_group").repartition(tasks, "file", "row_group").mapInArrow(run, out)
+
+
+def fitted(column: pa.Array, kind: pa.DataType) -> pa.Array:
+    """A column as read from a file, in the type that the session has for it; instants that the file leaves without a zone are UTC."""
+    if pa.types.is_dictionary(column.type):
+        column = column.dictionary_decode()
+    if pa.types.is_timestamp(column.type) and pa.types.is_timestamp(kind) and column.type.tz is None and kind.tz is not None:
+        column = column.cast(pa.timestamp(column.type.unit, "UTC"), safe=False)
+    return column.cast(kind, safe=False)
+
+
 def read_row_group(spark: SparkSession, path: str, ordinals: list[int]) -> DataFrame:
-    """The rows of the row groups with these ordinals in their files, by row index, so the scan skips other groups."""
-    ranges = row_groups(spark, path, ordinals=ordinals).select("file", "first_row", (F.col("first_row") + F.col("rg_rows")).alias("end_row"))
-    d = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    hit = (F.regexp_replace("__file", "^file:/+", "/") == F.regexp_replace("file", "^file:/+", "/")) & (F.col("__row") >= F.col("first_row")) & (F.col("__row") < F.col("end_row"))
-    return d.join(ranges, hit, "left_semi").drop("__file", "__row")
+    """The rows of the row groups with these ordinals in their files; other groups are not read."""
+    return read_row_groups(spark, path, row_groups(spark, path, ordinals=ordinals))
+
+
+def with_row_group(spark: SparkSession, path: str, name: str = "row_group") -> DataFrame:
+    """The rows of a table with the ordinal of each one's row group in its file."""
+    return read_row_groups(spark, path, row_groups(spark, path), ordinal=name)
 
 
 def sniff(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators.predicates import Predicate, apply_filter, columns, compile_predicate, type_of
 from ..operators.projection import project, select_globs, select_paths, with_missing
-from .footers import list_files, row_groups
+from .footers import list_files, read_row_groups, row_groups
 
 #: Levels of filtering and the session setting of each; the record level is the Spark filter itself.
 LEVELS = {"statistics": "parquet.filter.stats.enabled", "dictionary": "parquet.filter.dictionary.enabled", "bloom": "parquet.filter.bloom.enabled", "column_index": "parquet.filter.columnindex.enabled"}
@@ -62,10 +63,8 @@ class Reader:
         paths = (self.path,) if isinstance(self.path, str) else self.path
         df = self.spark.read.options(**self.options).option("recursiveFileLookup", str(self.recursive).lower()).parquet(*paths)
         if self.byte_range:
-            ranges = row_groups(self.spark, paths[0], start=self.byte_range[0], end=self.byte_range[1]).select("file", "first_row", (F.col("first_row") + F.col("rg_rows")).alias("end_row"))
-            d = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-            plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-            df = d.join(ranges, (plain("__file") == plain("file")) & F.col("__row").between(F.col("first_row"), F.col("end_row") - 1), "left_semi").drop("__file", "__row")
+            chosen = reduce(DataFrame.unionAll, (row_groups(self.spark, p, start=self.byte_range[0], end=self.byte_range[1]).select("file", "row_group") for p in paths))
+            df = read_row_groups(self.spark, paths, chosen)
         elif self.row_index:
             df = df.select("*", F.col("_metadata.row_index").alias("row_index"))
         if self.predicate is not None and self.record_filter:
