@@ -6,6 +6,7 @@ import math
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,21 @@ def summary(raw: bytes) -> tuple:
     return tuple(out)
 
 
+def points(s: pd.Series) -> pd.DataFrame | None:
+    """The summaries of a batch of little-endian points in the plane, all at once; None where a value is anything else."""
+    if not len(s) or not all(v is not None and len(v) == 21 for v in s):
+        return None
+    raw = np.frombuffer(b"".join(s), np.dtype([("order", "u1"), ("code", "<u4"), ("x", "<f8"), ("y", "<f8")]))
+    if (raw["order"] != 1).any() or (raw["code"] != 1).any():
+        return None
+    names = [x.strip().split()[0] for x in SCHEMA.split(",")]
+    out = pd.DataFrame({n: np.full(len(s), np.nan) for n in names[1:]})
+    for axis in "xy":
+        out[f"{axis}min"] = out[f"{axis}max"] = raw[axis]
+    out.insert(0, "type", pd.array(np.ones(len(s), np.int32), dtype="Int32"))
+    return out
+
+
 def summarise(c: Column) -> Column:
     """A struct of type code and bounds per value; null for null and for damaged values."""
 
@@ -73,6 +89,9 @@ def summarise(c: Column) -> Column:
         names = [x.strip().split()[0] for x in SCHEMA.split(",")]
         for s in batches:
             rows = []
+            if (plain := points(s)) is not None:
+                yield plain
+                continue
             for v in s:
                 try:
                     rows.append(summary(bytes(v)) if v is not None else (None,) * 9)

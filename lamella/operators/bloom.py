@@ -49,6 +49,38 @@ def hash_of(value, kind: T.DataType) -> int:
     return xxhash.xxh64_intdigest(encode(value, kind), seed=0)
 
 
+#: Fixed values of the hash that the format names: its five primes.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def hash_fixed(words: np.ndarray) -> np.ndarray:
+    """The hashes of many four- or eight-byte values at once, given as uint32 or uint64."""
+    with np.errstate(over="ignore"):
+        x = words.astype(np.uint64)
+        if words.dtype.itemsize == 8:
+            h = _rotated((P5 + np.uint64(8)) ^ (_rotated(x * P2, 31) * P1), 27) * P1 + P4
+        else:
+            h = _rotated((P5 + np.uint64(4)) ^ (x * P1), 23) * P2 + P3
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+        return h ^ (h >> np.uint64(32))
+
+
+_WORDS = {T.ByteType: (np.int32, np.uint32), T.ShortType: (np.int32, np.uint32), T.IntegerType: (np.int32, np.uint32), T.LongType: (np.int64, np.uint64), T.FloatType: (np.float32, np.uint32), T.DoubleType: (np.float64, np.uint64)}
+
+
+def hashes_of(column: pa.Array, kind: T.DataType) -> np.ndarray:
+    """The hashes of a column's values, which are not null: numbers at once, texts one by one."""
+    if type(kind) in _WORDS:
+        own, word = _WORDS[type(kind)]
+        return hash_fixed(np.ascontiguousarray(column.to_numpy(zero_copy_only=False).astype(own)).view(word))
+    return np.array([hash_of(v, kind) for v in column.to_pylist()], np.uint64)
+
+
 class SplitBlockBloom:
     def __init__(self, size: int, words: np.ndarray | None = None):
         if size < MIN_BYTES or size & (size - 1):
@@ -88,7 +120,7 @@ def build(df: DataFrame, column: str, *, ndv: int, fpp: float = 0.01) -> SplitBl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SplitBlockBloom(size)
         for b in batches:
-            own.insert(np.array([hash_of(v, kind) for v in b.column(0).to_pylist()], np.uint64))
+            own.insert(hashes_of(b.column(0), kind))
         flat = own.words.ravel()
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at].astype(np.int64))], ["at", "word"])
@@ -105,14 +137,18 @@ def probe(df: DataFrame, column: str, bloom: SplitBlockBloom, name: str = "may_c
     """df with whether the filter may hold each value; null for null."""
     kind = df.schema[column].dataType
     held = df.sparkSession.sparkContext.broadcast(bloom)
+    out = T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())])
+    at = df.columns.index(column)
 
-    def look(s):
-        ok = s.notna()
-        out = s.astype(object).where(~ok, None)
-        out[ok] = held.value.contains(np.array([hash_of(v.item() if hasattr(v, "item") else v, kind) for v in s[ok]], np.uint64)) if ok.any() else out[ok]
-        return out.where(ok, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.column(at)
+            there = c.is_valid().to_numpy(zero_copy_only=False)
+            hit = np.zeros(len(c), bool)
+            hit[there] = held.value.contains(hashes_of(c.drop_null(), kind))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, mask=~there)], out.names)
 
-    return df.withColumn(name, F.pandas_udf(look, "boolean")(F.col(f"`{column}`")))
+    return df.mapInArrow(run, out)
 
 
 def build_adaptive(df: DataFrame, column: str, *, max_bytes: int = 1 << 20, candidates: int = 5, fpp: float = 0.01) -> SplitBlockBloom:

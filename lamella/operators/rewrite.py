@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.footers import file_catalog
+from ..sources.footers import file_catalog, fitted, rows_between
 from .projection import leaf_paths, prune_schema
 
 CODECS = {"UNCOMPRESSED": "none", "SNAPPY": "snappy", "GZIP": "gzip", "ZSTD": "zstd", "LZ4": "lz4", "LZ4_RAW": "lz4_raw"}
@@ -139,6 +142,52 @@ def positional_join(left: DataFrame, right: DataFrame, *, overwrite: bool = Fals
     return a.join(b, F.col("a.__pos") == F.col("b.__pos")).select(*take)
 
 
+def segments(left: list[tuple[str, int]], right: list[tuple[str, int]]) -> list[tuple[int, str, int, str, int, int]]:
+    """(number, left file, its first row, right file, its first row, rows) of the stretches that two lists of (file, rows) have in common."""
+    if sum(n for _, n in left) != sum(n for _, n in right):
+        raise RewriteError(f"{sum(n for _, n in left)} rows on the left, {sum(n for _, n in right)} on the right")
+    out, i, j, a, b = [], 0, 0, 0, 0
+    while i < len(left) and j < len(right):
+        n = min(left[i][1] - a, right[j][1] - b)
+        if n:
+            out.append((len(out), left[i][0], a, right[j][0], b, n))
+        a, b = a + n, b + n
+        if a == left[i][1]:
+            i, a = i + 1, 0
+        if j < len(right) and b == right[j][1]:
+            j, b = j + 1, 0
+    return out
+
+
+#: Rows of a task of a positional join; longer files are taken in stretches of so many.
+STRETCH = 1 << 20
+
+
+def positional_join_files(spark: SparkSession, left: str | list[str], right: str | list[str], *, overwrite: bool = False) -> DataFrame:
+    """positional_join() of the tables at paths, in the order of their files, without a shuffle of rows: each task reads the same
+    stretch of rows of either side and lays the columns side by side. Row groups outside its stretch are not read."""
+    left, right = ([p] if isinstance(p, str) else list(p) for p in (left, right))
+    sizes = [[(r["file"], r["n_rows"]) for p in paths for r in sorted(file_catalog(spark, p).select("file", "n_rows").collect())] for paths in (left, right)]  # a line per file
+    parts = [(k, lf, a + at, rf, b + at, min(STRETCH, n - at)) for k, lf, a, rf, b, n in segments(*sizes) for at in range(0, n, STRETCH)]
+    ls, rs = spark.read.parquet(*left).schema, spark.read.parquet(*right).schema
+    both = set(ls.names) & set(rs.names)
+    schema = T.StructType([(rs if overwrite and f.name in both else ls)[f.name] for f in ls.fields] + [f for f in rs.fields if f.name not in both])
+    arrow = to_arrow_schema(schema)
+    from_right = [n in rs.names and (n not in ls.names or overwrite) for n in schema.names]
+    names = [[n for n, r in zip(schema.names, from_right, strict=True) if r == side] for side in (False, True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, lf, at, rf, bt, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                one, two = rows_between(lf, at, n, names[0]), rows_between(rf, bt, n, names[1])
+                columns = {**dict(zip(names[0], one, strict=True)), **dict(zip(names[1], two, strict=True))}
+                for lo in range(0, n, 65_536):
+                    yield pa.RecordBatch.from_arrays([fitted(columns[f.name].slice(lo, min(65_536, n - lo)).combine_chunks(), f.type) for f in arrow], schema.names)
+
+    frame = spark.createDataFrame(parts, "k long, lf string, a long, rf string, b long, n long")
+    return frame.repartition(max(1, len(parts)), "k", "a").mapInArrow(run, schema)
+
+
 def merge_metadata(parts: list[dict[str, str]], *, strict: bool = False, joiner: str | None = None) -> dict[str, str]:
     """Key-value metadata of several files: last wins; with strict a conflict is an error; with joiner different values are joined."""
     out: dict[str, str] = {}
@@ -197,7 +246,7 @@ class RewriteOptions:
 def rewritten(spark: SparkSession, o: RewriteOptions) -> DataFrame:
     """The rows that a rewrite would write."""
     o.check()
-    df = merge([spark.read.parquet(p) for p in o.inputs]) if o.join is None else positional_join(spark.read.parquet(*o.inputs), spark.read.parquet(o.join), overwrite=o.overwrite_joined)
+    df = merge([spark.read.parquet(p) for p in o.inputs]) if o.join is None else positional_join_files(spark, o.inputs, o.join, overwrite=o.overwrite_joined)
     df = prune(df, *o.prune) if o.prune else df
     for path, mode in o.mask.items():
         df = mask(df, mode, path)

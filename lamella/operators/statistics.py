@@ -120,25 +120,59 @@ def boundary_order(pages: DataFrame) -> DataFrame:
     return row.select(F.when(F.forall(steps, lambda s: s["up"]), "ASCENDING").when(F.forall(steps, lambda s: s["down"]), "DESCENDING").otherwise("UNORDERED").alias("boundary_order"))
 
 
+def _cut(c: Column, length: int) -> Column:
+    """The longest prefix of whole characters with at most so many bytes of UTF-8, for texts with more."""
+    raw = c.cast("binary")
+    inner = lambda at: F.substring(raw, at, 1).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    keep = F.lit(max(0, length - 3))
+    for back in range(min(2, length), -1, -1):  # a character ends where the next byte begins another
+        keep = F.when(~inner(length - back + 1), F.lit(length - back)).otherwise(keep)
+    return F.substr(raw, F.lit(1), keep).cast("string")
+
+
 def truncate_min(c: Column, length: int = 64) -> Column:
-    """A lower bound of up to so many characters."""
-    return F.left(c, F.lit(length))
+    """A lower bound of up to so many bytes of UTF-8, in whole characters."""
+    return F.when(F.octet_length(c) <= length, c).otherwise(_cut(c, length))
 
 
 def truncate_max(c: Column, length: int = 64) -> Column:
-    """An upper bound of up to so many characters: the prefix with its last character that can grow grown by one; null if none can. Surrogates are skipped."""
+    """An upper bound of up to so many bytes of UTF-8: the prefix with its last character that can grow grown by one, unless it would take
+    more bytes; null if none can. Bounds that end in a plain ASCII character, the most, are made by built-in functions."""
 
     def grow(text: str | None) -> str | None:
-        if text is None or len(text) <= length:
-            return text
-        for k in range(length - 1, -1, -1):
+        for k in range(len(text or "") - 1, -1, -1):
             code = ord(text[k]) + 1
             code = 0xE000 if 0xD800 <= code < 0xE000 else code
-            if code <= 0x10FFFF:
+            if code <= 0x10FFFF and len(chr(code).encode()) == len(text[k].encode()):
                 return text[:k] + chr(code)
         return None
 
-    return F.pandas_udf(lambda s: s.map(grow), "string")(c)
+    cut = _cut(c, length)
+    last = F.right(cut, F.lit(1))
+    simple = F.concat(F.left(cut, F.length(cut) - 1), F.chr(F.ascii(last) + 1))
+    hard = F.when((F.octet_length(c) > length) & ((F.octet_length(last) != 1) | (last == "\x7f")), cut)
+    return F.when(F.octet_length(c) <= length, c).when(hard.isNull(), simple).otherwise(F.pandas_udf(lambda s: s.map(grow), "string")(hard))
+
+
+def truncate_bytes(raw: bytes | None, length: int, *, upper: bool) -> bytes | None:
+    """truncate_min() and truncate_max() for binary bounds, which have no characters: the last byte that can grow is grown."""
+    if raw is None or len(raw) <= length:
+        return raw
+    cut = raw[:length]
+    if not upper:
+        return cut
+    kept = cut.rstrip(b"\xff")
+    return kept[:-1] + bytes([kept[-1] + 1]) if kept else None
+
+
+def merge_size_statistics(parts: DataFrame) -> DataFrame:
+    """One row per path, kind and level from the size statistics of parts (path, level_kind, level, n): sums. A kind that some part of a path lacks is unset: it has no rows.
+
+    parts has a column part that tells them apart."""
+    here = parts.groupBy("path", "level_kind", "part").agg(F.lit(1).alias("there")).groupBy("path", "level_kind").agg(F.count("*").alias("k"))
+    every = parts.groupBy("path").agg(F.countDistinct("part").alias("all_k"))
+    whole = here.join(every, "path").where("k = all_k").select("path", "level_kind")
+    return parts.join(whole, ["path", "level_kind"], "left_semi").groupBy("path", "level_kind", "level").agg(F.sum("n").alias("n"))
 
 
 def size_statistics(df: DataFrame, path: str) -> DataFrame:

@@ -191,6 +191,21 @@ def fitted(column: pa.Array, kind: pa.DataType) -> pa.Array:
     return column.cast(kind, safe=False)
 
 
+def rows_between(uri: str, first: int, n: int, names: list[str]) -> list[pa.ChunkedArray]:
+    """Columns of n rows of a file from one on; only the row groups that hold them are read."""
+    with open_file(uri) as f:
+        p = pq.ParquetFile(f)
+        start, groups, skip = 0, [], 0
+        for g in range(p.metadata.num_row_groups):
+            size = p.metadata.row_group(g).num_rows
+            if start < first + n and start + size > first:
+                skip = skip if groups else first - start
+                groups.append(g)
+            start += size
+        t = p.read_row_groups(groups, columns=names)
+        return [t.column(c).slice(skip, n) for c in names]
+
+
 def read_row_group(spark: SparkSession, path: str, ordinals: list[int]) -> DataFrame:
     """The rows of the row groups with these ordinals in their files; other groups are not read."""
     return read_row_groups(spark, path, row_groups(spark, path, ordinals=ordinals))
