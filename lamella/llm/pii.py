@@ -2,7 +2,8 @@
 
 The rules find e-mail addresses, IP addresses, card and phone numbers. The field, trained on a small labelled table, adds
 phone numbers without a country code, social security numbers and credentials; it never removes or changes a rule's span. Words with a
-digit, @ or = and their neighbours form the sequences that it decodes, in numpy batches; all other words are prose to it.
+digit, @ or =, or that name a credential before a colon, and their neighbours form the sequences that it decodes, in numpy batches; all
+other words are prose to it: what has none of these marks within three words in its line (names, street addresses in words) is not its matter.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@=]")
+#: A credential's name and a colon: a trigger without digits.
+NAMED = re.compile(r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key)[\"']?:")
 WORD = re.compile(r"[^ \t-\r]+")
 
 
@@ -70,9 +73,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 LABELS = ("O", "B-phone", "I-phone", "B-ssn", "B-secret", "I-secret")
 #: Words that announce what follows; the place in the list is the feature.
-CUES = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "ssn", "social", "security", "phone", "tel", "call", "mobile", "id", "no", "page", "version", "order")
-EDGE = "\"'`,;:!?<>[]{}"
-SLOTS, BUCKET = 9, 512
+CUES = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "ssn", "social", "security", "phone", "tel", "call", "mobile", "id", "no", "page", "version", "order", "passphrase", "api_key", "api-key", "commit", "revision", "checksum", "digest", "hash", "md5", "sha1", "sha256")
+EDGE = "\"'`,;:!?<>[]{}#*|~^%&"
+#: Feature slots of a word, and ids of each; words before it in which a cue counts.
+SLOTS, BUCKET, LOOK_BACK = 10, 512, 4
 
 
 def shape(word: str) -> str:
@@ -88,27 +92,30 @@ def features(words: list[str]) -> np.ndarray:
     bare = [w[:-1] if w.endswith(".") else w for w in bare]
     forms = [crc32(shape(w).encode()) % (BUCKET - 1) + 1 for w in bare]
     rows = []
+    cued = [CUES.index(x) + 1 if (x := w.lower().rstrip(":=")) in CUES else 0 for w in bare]
     for i, w in enumerate(bare):
         head = re.split("[=:]", w.lower(), maxsplit=1)[0]
         cue = CUES.index(head) + 1 if head in CUES else 0
         digits, letters = sum(c.isdigit() for c in w), sum(c.isalpha() for c in w)
-        before = bare[i - 1].lower().rstrip(":=") if i else ""
         mixed = (digits > 0) + 2 * (letters > 0) + 4 * (w.isupper()) + 8 * ("=" in w) + 16 * ("@" in w or "://" in w or "/" in w) + 32 * bool(re.fullmatch("[0-9a-f]+", w))
-        rows.append((forms[i], forms[i - 1] if i else 0, forms[i + 1] if i + 1 < len(bare) else 0, min(len(w), 40), min(digits, 25), cue, CUES.index(before) + 1 if before in CUES else 0, mixed, min(40, len(set(w)))))
+        rows.append((forms[i], forms[i - 1] if i else 0, forms[i + 1] if i + 1 < len(bare) else 0, min(len(w), 40), min(digits, 25), cue, cued[i - 1] if i else 0, mixed, min(40, len(set(w))), next((c for c in reversed(cued[max(0, i - LOOK_BACK) : i]) if c), 0)))
     return np.array(rows, np.int64).reshape(-1, SLOTS) + np.arange(SLOTS) * BUCKET
 
 
-def labelled(rows: int = 900, seed: int = 7) -> list[tuple[list[str], list[str]]]:
+def labelled(rows: int = 1400, seed: int = 7) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: sentences with private words of each kind, and as many with harmless numbers, made by rule."""
     r = random.Random(seed)
     pick = lambda abc, n: "".join(r.choice(abc) for _ in range(n))
     low, up, num, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
-    def prose(n: int) -> list[tuple[str, str]]:
-        return [(w.capitalize() if r.random() < 0.15 else w + r.choice(("", "", "", ",", ".")), "O") for w in (pick(low, r.randint(1, 12)) for _ in range(n))]
+    def prose(n: int, most: int = 12) -> list[tuple[str, str]]:
+        return [(w.capitalize() if r.random() < 0.15 else w + r.choice(("", "", "", ",", ".")), "O") for w in (pick(low, r.randint(1, most)) for _ in range(n))]
 
     def private() -> list[tuple[str, str]]:
-        k = r.randrange(8)
+        k = r.randrange(9)
+        if k == 8:
+            word = pick(low, r.randint(9, 20)) if r.random() < 0.6 else pick(low + up, r.randint(8, 20))
+            return [(r.choice(("password", "Password", "passwd", "passphrase", "pwd", "secret", "token", "api_key")) + ":", "O"), (word, "B-secret")]
         if k == 0:
             return [(f"({r.randint(200, 999)})", "B-phone"), (f"{pick(num, 3)}-{pick(num, 4)}", "I-phone")]
         if k == 1:
@@ -128,7 +135,14 @@ def labelled(rows: int = 900, seed: int = 7) -> list[tuple[list[str], list[str]]
         return [('"' + pick(hexa, 40) + '"', "B-secret")]
 
     def harmless() -> list[tuple[str, str]]:
-        k = r.randrange(14)
+        k = r.randrange(18)
+        if k >= 16:
+            return [(r.choice(("password", "secret", "token", "passphrase")) + ":", "O"), *prose(r.randint(1, 3), 6)]
+        if k >= 14:  # commits and checksums
+            n = r.choice((32, 40, 40, 64, 64))
+            name = r.choice((["commit"], ["revision"], ["hash", "is"], ["md5"], ["sha1"], ["sha256"], ["sha256", "of", "file", "is"], ["checksum", "of", pick(low, 6)], ["digest", "of", "the", pick(low, 5)], []))
+            colon = ":" if len(name) == 1 and r.random() < 0.3 else ""
+            return [*((w + colon, "O") for w in name), (pick(hexa, n), "O"), *([(f"{pick(low, 5)}.{pick(low, 3)}", "O")] if not name else [])]
         w = (
             lambda: str(r.randint(0, 9999)), lambda: str(r.randint(1900, 2100)), lambda: f"{r.randint(1, 999)}.{pick(num, r.randint(1, 3))}", lambda: f"{r.randint(1, 99)},{pick(num, 3)}",
             lambda: f"{r.randint(2000, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", lambda: f"{r.randint(0, 23)}:{pick('012345', 1)}{pick(num, 1)}",
@@ -173,6 +187,8 @@ SHARED = 4 * AROUND
 def sequences(text: str) -> Iterator[list[tuple[str, int]]]:
     """Words (with their places) around those with a trigger, neighbouring ones together. Only lines with a trigger are split."""
     hot = [m.start() for m in TRIGGER.finditer(text)]
+    if ":" in text and (named := [m.start() for m in NAMED.finditer(text)]):
+        hot = sorted(hot + named)
     if not hot:
         return
     at, n = 0, len(text)
@@ -181,7 +197,7 @@ def sequences(text: str) -> Iterator[list[tuple[str, int]]]:
         b = text.find("\n", hot[at])
         b = n if b < 0 else b
         words = [(m[0], m.start() + a) for m in WORD.finditer(text[a:b])]
-        marked = np.array([bool(TRIGGER.search(w)) for w, _ in words])
+        marked = np.array([bool(TRIGGER.search(w) or NAMED.search(w)) for w, _ in words])
         near = np.convolve(marked, np.ones(2 * AROUND + 1), "same") > 0 if len(words) > 2 * AROUND else np.ones(len(words), bool)
         run: list[tuple[str, int]] = []
         for w, keep in zip(words, near, strict=True):
@@ -239,12 +255,12 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", field: Crf | None = None) -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone (the rules' spans), base_sha256 (of these spans, joined), spans (all, joined).
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone (the rules' spans), base_sha256 (of these spans, joined), spans (all, joined), n_spans (their number) and text_key (a hash of the text, for redact()).
 
     Null and empty texts have no spans; each row stands by itself, repeated ones alike; no shuffle; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(field or train())
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, text_key long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +270,18 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", field:
             more = added_spans(held.value, texts, base)
             counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in KINDS]
             digest = [hashlib.sha256(joined(x).encode()).hexdigest() for x in base]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(digest), pa.array([joined(x + y) for x, y in zip(base, more, strict=True)])], names)
+            every = [x + y for x, y in zip(base, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(digest), pa.array([joined(x) for x in every]), pa.array([len(x) for x in every], pa.int64()), b.column(2)], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, schema)
 
 
 def redact(texts: DataFrame, spans: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the text with each span of find() replaced by its kind in brackets."""
+    """Per row of texts: doc_id and the text with each span of find() replaced by its kind in brackets.
+
+    A row's spans are those of its doc_id and text, so null and repeated ids keep their rows and spans; rows that spans
+    lacks pass as they are; null texts stay null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,4 +294,6 @@ def redact(texts: DataFrame, spans: DataFrame, *, doc_id: str = "doc_id", text:
                 out.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return texts.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(spans.select("doc_id", "spans"), "doc_id").mapInArrow(run, "doc_id long, text string")
+    t = texts.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
+    s = spans.where("n_spans > 0").select(F.col("doc_id").alias("d"), "text_key", "spans").dropDuplicates(["d", "text_key"])
+    return t.join(s, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("text_key")), "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
