@@ -7,6 +7,7 @@ number of ids; last a fixed footer with the sections' places.
 
 from __future__ import annotations
 
+import array
 import struct
 import uuid
 import zlib
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ FOOTER = struct.Struct("<5QI8s")  # ids, documents, start of keys, start of the
 KEY = np.dtype([("id", "<i8"), ("null", "u1"), ("nth", "<u4")])
 ENTRY = np.dtype([("print", "<u4"), ("start", "<u8"), ("n", "<u4")])
 READ_IDS = 1 << 22
+#: Bytes of text that a shard is made for.
+SHARD_BYTES = 32 << 20
+#: Characters of a text by which rows of one key are ordered before its hash is.
+HEAD = 32
 
 
 @dataclass(frozen=True)
@@ -51,17 +57,19 @@ class ShardWriter:
     """Streams ids to a file; holds keys and starts of its documents only."""
 
     def __init__(self, out, width: int):
-        self.out, self.width, self.keys, self.counts, self.last = out, width, [], [], None
+        self.out, self.width, self.last = out, width, None
+        self.ids, self.null, self.nth, self.counts = array.array("q"), array.array("B"), array.array("I"), array.array("q")
 
     def add(self, doc_id: int | None, raw: bytes) -> None:
-        nth = self.last[1] + 1 if self.last is not None and self.last[0] == doc_id else 0
-        self.last = (doc_id, nth)
-        self.keys.append((doc_id or 0, doc_id is None, nth))
-        self.counts.append(len(raw) // self.width)
+        nth = self.nth[-1] + 1 if self.nth and self.last == doc_id else 0
+        self.last = doc_id
+        for a, v in ((self.ids, doc_id or 0), (self.null, doc_id is None), (self.nth, nth), (self.counts, len(raw) // self.width)):
+            a.append(v)
         self.out.write(raw)
 
     def close(self) -> int:
-        keys, counts = np.array(self.keys, KEY), np.array(self.counts, np.int64)
+        keys, counts = np.zeros(len(self.ids), KEY), np.array(self.counts, np.int64)
+        keys["id"], keys["null"], keys["nth"] = self.ids, self.null, self.nth
         starts, total = np.cumsum(counts) - counts, int(counts.sum())
         mph = PerfectHash.build(hashed(keys))
         entries = np.zeros(len(keys), ENTRY)
@@ -109,12 +117,13 @@ class ShardReader:
         return None if start[0] < 0 else self.payload(int(start[0]), int(n[0]))
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0) -> list[Shard]:
-    """Encode every text, append end_id, write shards in ascending key order; returns the shards in that order.
+def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> list[Shard]:
+    """Encode every text, append end_id, write shards of some shard_bytes of text in ascending key order; returns the shards in that order.
 
     One range shuffle of (key, text); each task then encodes and streams its shard. A task that is tried again writes
     another file and only the last one counts. Null texts are empty (the end id alone), null keys come first,
-    equal keys stand together and are told apart by their number; an empty table gives no shard.
+    equal keys stand together, in the order of the text's first characters and then of its hash, over as many shards as their rows fill, and
+    are told apart by their number in a shard; repeated rows each get their ids, and share a shard; an empty table gives no shard.
     """
     spark = docs.sparkSession
     shared = bpe.Shared(docs, text, tokenizer_path)
@@ -123,8 +132,6 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_
     width = 2 if max(Tokenizer.from_str(shared.source).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import array
-
         enc = shared.encoder(f"bytes{width}", lambda ids: array.array("H" if width == 2 else "I", ids).tobytes())
         end = end_id.to_bytes(width, "little")
         first = next((b for b in batches if b.num_rows), None)
@@ -138,14 +145,14 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     w.add(i, b"".join(enc.values_of(t) if t else ()) + end)
             total = w.close()
-        none, low = w.keys[0][1], w.keys[0][0]
-        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([None if none else low], pa.int64()), pa.array([total], pa.int64()), pa.array([len(w.keys)], pa.int64())], ["uri", "low", "ids", "docs"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([uri]), pa.array([total], pa.int64()), pa.array([len(w.ids)], pa.int64())], ["part", "uri", "ids", "docs"])
 
     d = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = d.repartitionByRange(n, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t").mapInArrow(encode, "uri string, low long, ids long, docs long").collect()
+    size = d.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    order = [F.col("k").asc_nulls_first(), F.substring("t", 1, HEAD).asc_nulls_first(), F.xxhash64("t").asc()]
+    made = d.repartitionByRange(-(-size // shard_bytes) or 1, *order).sortWithinPartitions(*order, "t").mapInArrow(encode, "part long, uri string, ids long, docs long").collect()
     out, at = [], 0  # a line per shard, never per document
-    for r in sorted(made, key=lambda r: (r["low"] is not None, r["low"] or 0)):
+    for r in sorted(made, key=lambda r: r["part"]):
         out.append(Shard(r["uri"], at, r["ids"], r["docs"]))
         at += r["ids"]
     return out
