@@ -76,15 +76,20 @@ def floor_of(percent: int) -> int:
     return int(HASHES * p - 5 * (HASHES * p * (1 - p)) ** 0.5)
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """What tells rows apart: 63 bits of a hash of id and text. Rows with equal ids and texts are one."""
+    return F.shiftrightunsigned(F.xxhash64(doc_id, text), 1)
+
+
 def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, n_shingles, s1 and s2 (a 128-bit hash of the set; null without words), bands and sig."""
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig0 long, sig1 long, sig2 long, sig3 long"
+    """Per row: doc_id, row, n_shingles, s1 and s2 (a 128-bit hash of the set; null without words), bands and sig."""
+    schema = "doc_id long, row long, n_shingles long, s1 long, s2 long, bands array<long>, sig0 long, sig1 long, sig2 long, sig3 long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for sets in shingle_sets(b.column(1), WIDTH):
+            for sets in shingle_sets(b.column(2), WIDTH):
                 n = np.array([len(s) for s in sets], np.int64)
                 none = n == 0
                 m = np.stack([minima(s) for s in sets])
@@ -93,14 +98,14 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     two = np.array([np.add.reduce(mix64(s, 52)) for s in sets], np.uint64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(m).ravel()))
                 sig = packed(m)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(n), pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none), keys, *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(4))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), b.column(1).slice(at, len(sets)), pa.array(n), pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none), keys, *(pa.array(np.ascontiguousarray(sig[:, k])) for k in range(4))], names)
                 at += len(sets)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("row"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def wanted_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(v, set) of the documents in wanted (v): their sorted shingle hashes. A bit filter of fixed size drops most other rows before the join."""
+    """(v, set) of the rows in wanted (v, a row's key): their sorted shingle hashes. A bit filter of fixed size drops most other rows before the join."""
     bits = bitfilter.build(wanted.select("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +121,7 @@ def wanted_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> D
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["v", "set"])
                 at += len(sets)
 
-    d = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("v"), F.col(text).alias("text"))
+    d = docs.select(row_key(doc_id, text).alias("v"), F.col(text).alias("text"))
     found = d.withColumn("bit", bitfilter.place(F.col("v"))).mapInArrow(run, "v long, set array<long>")
     return stored(found.join(wanted.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]))
 
@@ -174,19 +179,19 @@ def rest_of_pairs(now: DataFrame, left: DataFrame, marks: DataFrame, copies: Dat
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included) and kept (it is that one).
 
-    Null and empty texts have the empty set, link with nothing and are kept. Rows with equal doc_ids count as one
-    document; a null doc_id gets the component of its text's class, or null, and is never kept if that has an id. Repeated rows
-    each give a row; an empty table gives an empty result. Other columns are not read.
+    Null and empty texts have the empty set, link with nothing and are kept. Rows with equal doc_ids and different texts are
+    documents of their own, each with its own component; rows without an id link like any, get the smallest doc_id of their component, or
+    null, and are not kept if it has one. Repeated rows each give a row, all alike; an empty table gives an empty result. Other columns are not read.
     """
     rows = stored(sketch(docs, doc_id, text))
     sigs = [f"sig{k}" for k in range(HASHES // 32)]
     full = rows.where("n_shingles > 0")
-    classes = stored(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.any_value("bands").alias("bands"), *(F.any_value(s).alias(s) for s in sigs), F.count("*").alias("n")))
-    named = classes.where("v IS NOT NULL")
-    posts = named.select("v", "n", F.explode("bands").alias("key"))
+    # a class is the rows of one set; v, the least of their keys, stands for it
+    classes = stored(full.groupBy("s1", "s2").agg(F.min("row").alias("v"), F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), *(F.any_value(s).alias(s) for s in sigs), F.count("*").alias("n")))
+    posts = classes.select("v", "n", F.explode("bands").alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     posts = stored(posts.join(shared, "key", "left_semi").select("key", "v", "n"))
-    marks = named.select("v", *sigs)
+    marks = classes.select("v", *sigs)
     least = floor_of(percent)
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -213,7 +218,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         known, links = (p, good) if k == 0 else (known.unionByName(p), links.unionByName(good))
         sets = own if sets is None else sets if own is None else sets.unionByName(own).dropDuplicates(["v"])
         labels = components(links)
-        comp = stored(named.select("v").distinct().join(labels, "v", "left").select("v", F.coalesce("c", "v").alias("c")))
+        comp = stored(classes.select("v").join(labels, "v", "left").select("v", F.coalesce("c", "v").alias("c")))
         now = stored(posts.join(comp, "v"))
         # what is left: members outside their bucket's first class, against all of the bucket
         left = now.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("v", "c"))["c"].alias("c0"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2")
@@ -221,10 +226,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         cost = out.join(left, "key").agg(F.sum(F.col("m").cast("double") * F.col("n")).alias("x"), F.sum("n").alias("n")).first()
         if (cost["x"] or 0) <= PER_POSTING * max(cost["n"] or 0, 100_000) or good.isEmpty():
             break
-    good = linked(measured(docs, doc_id, text, rest_of_pairs(now, left, marks, named.select("v", "n"), sigs, known, sets, least, percent))[0], percent)
+    good = linked(measured(docs, doc_id, text, rest_of_pairs(now, left, marks, classes.select("v", "n"), sigs, known, sets, least, percent))[0], percent)
     if not good.isEmpty():
         labels = components(links.unionByName(good))
-    changed = classes.join(labels, "v", "left").select("s1", "s2", F.coalesce("c", "v").alias("c"), "v", "n").where("n > 1 OR c <> v OR c IS NULL OR v IS NULL").select("s1", "s2", "c")
+    linked_ = classes.join(labels, "v").select("s1", "s2", "c", "id")
+    least_id = linked_.groupBy("c").agg(F.min("id").alias("component_id"))
+    alone = classes.where("n > 1").join(labels.select("v"), "v", "left_anti").select("s1", "s2", F.col("id").alias("component_id"))
+    changed = linked_.join(least_id, "c").select("s1", "s2", "component_id").unionAll(alone).withColumn("told", F.lit(True))
     r = rows.select("doc_id", "n_shingles", "s1", "s2").alias("r").join(changed.alias("k"), (F.col("r.s1") == F.col("k.s1")) & (F.col("r.s2") == F.col("k.s2")), "left")
-    c = F.coalesce(F.col("k.c"), F.col("r.doc_id"))
+    c = F.when(F.col("k.told"), F.col("k.component_id")).otherwise(F.col("r.doc_id"))
     return r.select(F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n_shingles"), c.alias("component_id"), F.col("r.doc_id").eqNullSafe(c).alias("kept"))
