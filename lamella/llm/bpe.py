@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Letters and numbers up to U+024F; all else there is white space or punctuation.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -35,6 +37,8 @@ PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?
 ANY_SCRIPT = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts within this set are split by PRE_TOKEN, others by ANY_SCRIPT, or by the library itself where unsure() finds a character.
 BEYOND = re.compile("[^\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\x85\\xa0-\\u024f\\u2010-\\u2027]")
+#: Counts above this are not told apart when tier one is chosen.
+RARE = 1_000
 #: Tier one: at most so many pre-tokens of at most so many characters, the most frequent ones of the first texts of each partition (so many texts and characters of them). The bounds touch speed alone.
 MAX_FREQUENT, MAX_PIECE, SAMPLE_TEXTS, SAMPLE_CHARS = 1 << 17, 32, 2048, 4 << 20
 #: Bound on the vocabulary file that is broadcast.
@@ -117,7 +121,14 @@ def frequent(docs: DataFrame, text: str, tokenizer_json: str) -> Frequent:
         yield pa.RecordBatch.from_arrays([pa.array([k.encode() for k in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 
     counts = docs.select(text).mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = [bytes(r["piece"]).decode() for r in counts.orderBy(F.desc("n"), "piece").limit(MAX_FREQUENT).collect()]
+    counts = stored(counts)
+    # how many pre-tokens occur n times or more tells the least n for which they are few enough to fetch
+    often = Counter({r["n"]: r["k"] for r in counts.groupBy(F.least("n", F.lit(RARE)).alias("n")).agg(F.count("*").alias("k")).collect()})
+    least, room = RARE + 1, MAX_FREQUENT
+    while least > 1 and often[least - 1] <= room:
+        least, room = least - 1, room - often[least - 1]
+    wanted = counts.where(F.col("n") >= least) if least <= RARE else counts.where(F.col("n") >= RARE).limit(MAX_FREQUENT)
+    pieces = sorted(bytes(r["piece"]).decode() for r in wanted.select("piece").collect())
     e = Encoder(tokenizer_json, {}, list)
     return Frequent.of(pieces, [e.ids(p) for p in pieces])
 
