@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,14 +44,25 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["scan_multi_predicate"](spark, sf_dir)
 
 
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, for queries that write and read back."""
+    """A new folder that driver and executors share, for queries that write and read back: under spark.checkpoint.dir, or where that is unset a temporary
+    one of a local session, which goes with the driver."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix="lamella-")
-    import uuid
+    if base is not None:
+        return f"{base.rstrip('/')}/lamella-{uuid.uuid4().hex[:12]}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _made.append(tempfile.mkdtemp(prefix="lamella-"))
+    return _made[-1]
+
 
-    return f"{base.rstrip('/')}/lamella-{uuid.uuid4().hex[:12]}"
+@atexit.register
+def _forget() -> None:
+    for folder in _made:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 # Predicates. Nulls are made by nullif on both sides, as the tables have none.
@@ -281,9 +295,10 @@ def meta_chunks(spark, sf_dir):
     return c.groupBy("path").agg(F.sum("n_values").alias("n_values"), F.sum("null_count").alias("null_count"), F.min(F.col("min_value").cast("long")).alias("low"), F.max(F.col("max_value").cast("long")).alias("high"))
 
 
-@query()
+@query("SELECT column_name AS path, TRUE AS stored FROM (DESCRIBE lineitem)")
 def meta_column_size(spark, sf_dir):
-    return reports.column_size(spark, f"{sf_dir}/lineitem.parquet")
+    s = reports.column_size(spark, f"{sf_dir}/lineitem.parquet")
+    return s.select("path", ((F.col("bytes") > 0) & (F.col("ratio") <= 1)).alias("stored"))
 
 
 @query("SELECT * FROM (VALUES ('r_regionkey', 1, 0), ('r_name', 1, 0)) t(path, definition_level, repetition_level)")
@@ -291,9 +306,11 @@ def meta_schema(spark, sf_dir):
     return reports.schema_table(spark, f"{sf_dir}/region.parquet").select("path", "definition_level", "repetition_level")
 
 
-@query()
+@query("SELECT count(*) AS n_rows, 3 AS n_columns FROM nation")
 def meta_footer(spark, sf_dir):
-    return reports.footer(spark, f"{sf_dir}/nation.parquet").select("footer")
+    kind = "struct<n_rows:bigint,blocks:array<struct<columns:array<struct<path:string>>>>>"
+    f = reports.footer(spark, f"{sf_dir}/nation.parquet").select(F.from_json("footer", kind).alias("f"))
+    return f.select("f.n_rows", F.size(F.col("f.blocks")[0]["columns"]).alias("n_columns"))
 
 
 @query("SELECT * FROM (SELECT '' AS column_name, '' AS what, '' AS stated, '' AS found) WHERE FALSE")
@@ -319,16 +336,14 @@ def prune_row_groups(spark, sf_dir):
     out = f"{work_dir(spark)}/rg"
     d = table(spark, sf_dir, "lineitem").coalesce(1).sortWithinPartitions("l_orderkey")
     Writer(d).set("row_group_rows", 1000).write(out)
-    kept = pruning.prune_report(spark, out, p).where("kept")
-    ordinals = [r["row_group"] for r in kept.select("row_group").distinct().collect()]
-    return P.apply_filter(footers.read_row_group(spark, out, ordinals), p).select(*KEYS)
+    return pruning.read_pruned(spark, out, p, names=list(KEYS))
 
 
-@query()
+@query("SELECT page::INT AS page, page * 500 AS first_row, FALSE AS null_page, 0::BIGINT AS null_count, min(o_orderkey)::VARCHAR AS min_value, max(o_orderkey)::VARCHAR AS max_value, 'ASCENDING' AS boundary_order FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS page FROM orders) GROUP BY page")
 def column_index_report(spark, sf_dir):
     out = f"{work_dir(spark)}/ci"
     Writer(table(spark, sf_dir, "orders").coalesce(1).sortWithinPartitions("o_orderkey")).set("page_rows", 500).write(out)
-    return pages.column_indexes(spark, out, ["o_orderkey"]).drop("file")
+    return pages.column_indexes(spark, out, ["o_orderkey"]).select("page", "first_row", "null_page", "null_count", "min_value", "max_value", "boundary_order")
 
 
 @query("SELECT c_custkey AS value, c_custkey IN (SELECT o_custkey FROM orders) AS held FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -381,17 +396,23 @@ def _halves(spark, sf_dir):
     d = table(spark, sf_dir, "orders").coalesce(1).sortWithinPartitions("o_orderkey")
     d.select("o_orderkey", "o_custkey").write.parquet(f"{out}/a")
     d.select((-F.col("o_custkey")).alias("o_custkey"), "o_totalprice").write.parquet(f"{out}/b")
-    return spark.read.parquet(f"{out}/a"), spark.read.parquet(f"{out}/b")
+    return f"{out}/a", f"{out}/b"
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def rw_positional_join(spark, sf_dir):
-    return rewrite.positional_join(*_halves(spark, sf_dir))
+    return rewrite.positional_join_files(spark, *_halves(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, -o_custkey AS o_custkey, o_totalprice FROM orders")
 def rw_positional_join_overwrite(spark, sf_dir):
-    return rewrite.positional_join(*_halves(spark, sf_dir), overwrite=True)
+    return rewrite.positional_join_files(spark, *_halves(spark, sf_dir), overwrite=True)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def rw_positional_join_frames(spark, sf_dir):
+    """The same over scans that are frames already, by a shuffle on the position."""
+    return rewrite.positional_join(*map(spark.read.parquet, _halves(spark, sf_dir)))
 
 
 # Variants, text, geometry.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import bloom, rewrite, statistics
 from ..operators.projection import select_paths
 from ..sources import pages as page_source
+from ..sources.avro import write_avro
 from ..sources.footers import chunk_catalog, file_catalog
 from ..sources.tables import avro
 from . import geo, infer, schema_text
@@ -67,11 +68,9 @@ def convert(spark: SparkSession, source: str, output: str, *, form: str = "json"
     (select_paths(df, *columns) if columns else df).write.option("compression", codec).parquet(output)
 
 
-def to_avro(df: DataFrame, output: str) -> None:
-    try:
-        df.write.format("avro").save(output)
-    except Exception as e:
-        raise NotImplementedError("Avro files need the spark-avro package on the session's class path") from e
+def to_avro(df: DataFrame, output: str, *, codec: str = "deflate") -> int:
+    """df as Avro containers in a new folder; the number of records."""
+    return write_avro(df, output, codec=codec)
 
 
 def head(df: DataFrame, n: int = 10, *columns: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators.predicates import Predicate, apply_filter, columns, compile_predicate, type_of
 from ..operators.projection import project, select_globs, select_paths, with_missing
+from .avro import read_avro
 from .footers import list_files, read_row_groups, row_groups
 
 #: Levels of filtering and the session setting of each; the record level is the Spark filter itself.
@@ -138,11 +139,8 @@ def tolerant(spark: SparkSession, path: str, schema: T.StructType, form: str, th
 
 
 def avro(spark: SparkSession, path: str) -> DataFrame:
-    """Avro containers, where the session has Spark's Avro package."""
-    try:
-        return spark.read.format("avro").load(path)
-    except Exception as e:
-        raise NotImplementedError("Avro files need the spark-avro package on the session's class path") from e
+    """The records of Avro containers."""
+    return read_avro(spark, path)
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

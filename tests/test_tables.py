@@ -240,7 +240,8 @@ def test_reports(spark, grouped, tmp_path):
     assert abs(reports.column_size(spark, grouped).agg(F.sum("ratio")).first()[0] - 1) < 1e-9
     assert reports.check_stats(spark, grouped).count() == 0
     assert set(reports.help()) == set(reports.COMMANDS)
-    with pytest.raises(NotImplementedError):
+    assert reports.to_avro(spark.range(1), str(tmp_path / "a")) == 1 and tables.avro(spark, str(tmp_path / "a")).collect()[0]["id"] == 0
+    with pytest.raises(FileExistsError):
         reports.to_avro(spark.range(1), str(tmp_path / "a"))
 
 
