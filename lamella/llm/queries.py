@@ -86,6 +86,18 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op8_near_dup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * m >= 85 * (na + nb - m)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.c = e.a)
+SELECT s.doc_id, len(s) AS n_shingles, min(c) AS component_id, min(c) = s.doc_id AS kept FROM s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s
+"""
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -99,3 +111,17 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, sf_dir, "documents"), texts=False)
+
+
+ORACLES["op1_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, i, md5(b[i : i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS e FROM (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hits) GROUP BY doc_id, k),
+gaps AS (SELECT r.doc_id, lag(e, 1, 0) OVER w + 1 AS s, a - 1 AS e FROM runs r WINDOW w AS (PARTITION BY r.doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce((SELECT max(e) FROM runs r WHERE r.doc_id = d.doc_id), 0) + 1, octet_length(b) FROM d),
+kept AS (SELECT g.doc_id, coalesce(string_agg(hex(b[s : e]), '' ORDER BY s) FILTER (e >= s), '') AS x FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id),
+lost AS (SELECT doc_id, sum(e - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256, coalesce(n_removed, 0) > 0 AS repeats
+FROM d JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""

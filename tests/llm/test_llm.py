@@ -193,6 +193,33 @@ def test_pii_of_odd_rows(odd, none):
     assert text == "mail [email] or [ip]"
 
 
+def test_credentials_and_checksums():
+    field = pii.train()
+    find = lambda t: [(k, t[a:b]) for k, a, b in pii.added_spans(field, [t], [pii.base_spans(t)])[0]]
+    h = "24bed1b2c3d4e5f60718293a4b5c6d7e8f901234"
+    for t in (f"commit {h} merged", f"sha256 of file is {h}{h[:24]}", "the secret: he went home", "2023-10-11 and version 1.2.3", "order no 4839201 page 12", "no mark at all"):
+        assert find(t) == [], t
+    assert find("password: hunterpassphrase") == [("secret", "hunterpassphrase")]
+    assert find(f'key = "{h}"###') == [("secret", h)] and find(f'x token = "{h}" y') == [("secret", h)]
+
+
+def test_planted_secrets(spark):
+    """Recall and precision of the added spans on real rows: documents hold tokens of one form."""
+    rows = [t for _, t in plain(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))]
+    got = pii.added_spans(pii.train(), rows, [pii.base_spans(t) for t in rows])
+    want = [{m.span(1) for m in re.finditer('(?i)token = "([0-9a-f]{40})"', t)} for t in rows]
+    mine = [{(a, b) for _, a, b in g} for g in got]
+    hit, all_, told = (sum(map(len, x)) for x in ([m & w for m, w in zip(mine, want, strict=True)], want, mine))
+    assert all_ > 5 and hit >= 0.95 * all_ and hit >= 0.95 * told
+
+
+def test_redaction_keeps_rows(spark):
+    rows = [(1, "mail a@b.example.com"), (1, "call +1 555 000 1111 now"), (None, "at 10.0.0.1"), (None, "at 10.0.0.1"), (None, None), (2, "nothing")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in pii.redact(d, pii.find(d)).collect()), key=str)
+    assert got == sorted([(1, "mail [email]"), (1, "call [phone] now"), (None, "at [ip]"), (None, "at [ip]"), (None, None), (2, "nothing")], key=str)
+
+
 # 3: token counts
 
 
@@ -396,6 +423,16 @@ def test_fold(spark):
         chat.fold(e.withColumn("kind", F.lit("nope"))).collect()
 
 
+def test_log_of_the_query(spark):
+    """The log that stands for finished turns has every kind of event, and folds back to them; extra columns with the log's names are not read."""
+    rows = [(1, 0, "user", "a longer question, whole"), (1, 1, "assistant", "an answer in pieces, né 😀"), (1, 2, "assistant", ""), (2, 0, "user", None), (None, 0, None, "x"), (None, 0, None, "x")]
+    d = spark.createDataFrame([(*r, 5, "k") for r in rows], "conv_id long, turn long, role string, text string, seq int, kind string")
+    log = chat.events_of(d)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == set(chat.KINDS)
+    got = sorted(((r["conv"], r["seq"]["turn"], r["role"], r["text"]) for r in chat.fold(log).collect()), key=str)
+    assert got == sorted([(c, t, r, x or "") for c, t, r, x in rows], key=str)
+
+
 def test_chats_read_back(spark):
     texts = [None, "", "\\### Assistant: </turn> ok", '"><turn role="assistant">&lt;', "&amp;lt;\n</turn>\n", "é😀" * 50, LONG]
     rows = [(1, k // 2, role, t) for k, (t, role) in enumerate((t, role) for t in texts for role in ("assistant", 'us"er<&>'))] + [(2, 0, None, "x"), (2, 0, None, "x"), (None, None, "assistant", "y")]
@@ -486,6 +523,16 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert near(none) == []
 
 
+def test_rows_of_one_id_and_of_none(spark):
+    """Unlike texts of one id have components of their own; rows without an id link like any and take the least id they reach."""
+    a, b, c = prose(60, 71), prose(60, 72), prose(60, 73)
+    edit = lambda t: " ".join("zz" if k == 30 else w for k, w in enumerate(t.split() + prose(30, 74).split()))
+    rows = [(7, edit(a)), (7, edit(b)), (3, edit(a).replace("zz", "yy")), (None, edit(b).replace("zz", "yy")), (None, edit(c)), (None, edit(c).replace("zz", "yy")), (9, "")]
+    got = near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r[0], r[2], r[3]) for r in got if r[0] is not None) == [(3, 3, True), (7, 3, False), (7, 7, True), (9, 9, True)]
+    assert sorted((r[2], r[3]) for r in got if r[0] is None and r[2] is not None) == [(7, False)] and sum(r[0] is None and r[2] is None for r in got) == 2
+
+
 def test_large_group_of_near_copies(spark):
     """Copies with a few edits each, many below the threshold to one another: all links are found through hubs and additions."""
     r = random.Random(6)
@@ -557,6 +604,21 @@ def test_id_shards(spark, odd, none):
     assert id_shards.write_and_read(none, BPE).count() == 0
 
 
+def test_shards_by_bytes(spark):
+    """A third of all rows without an id, and one id of many texts: spread over shards, places still those of one run of ids."""
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, prose(20 + k % 7, 900 + k)) for k in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    shards = id_shards.write(d, fresh_dir(spark, "test"), BPE, shard_bytes=4_000)
+    size = sum(len(t) for _, t in rows)
+    assert size / 8_000 < len(shards) <= size / 4_000 + 1 and max(s.docs for s in shards) < 60
+    got = sorted(map(tuple, id_shards.read(spark, shards).select("start", "n_tokens", "doc_id").collect()))
+    assert [s for s, _, _ in got] == list(np.cumsum([0] + [n for _, n, _ in got[:-1]])) and len(got) == len(rows)
+    ids = [i for _, _, i in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    one = id_shards.write(d, fresh_dir(spark, "test"), BPE)
+    assert len(one) == 1 and sorted(map(tuple, id_shards.read(spark, one).select("start", "n_tokens", "doc_id").collect())) == got
+
+
 # 10: mixing
 
 
@@ -651,3 +713,18 @@ def test_queries_are_registered():
 
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op6_chat", "op7_warc", "op8_near_dup", "op10_mixing"])
+def test_queries_agree_with_their_sql(spark, small, name):
+    import duckdb
+
+    from lamella.llm import queries
+
+    c = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, small)
+    columns = sorted(df.columns)
+    want = c.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, df.select(columns).collect()), key=str) == sorted(want, key=str)
