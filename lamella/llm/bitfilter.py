@@ -17,9 +17,9 @@ def place(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BITS)).cast("long")
 
 
-def build(keys: DataFrame):
-    """A broadcast array of words with the bits of all rows of keys; see place()."""
-    at = keys.select(place(*(F.col(c) for c in keys.columns)).alias("p"))
+def build(keys: DataFrame, at: Column | None = None):
+    """A broadcast array of words with the bits of all rows of keys; at tells them where place() does not."""
+    at = keys.select((place(*(F.col(c) for c in keys.columns)) if at is None else at).alias("p"))
     words = at.select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
     got, mask = words.toPandas(), np.zeros(BITS // 64, np.int64)
     mask[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)

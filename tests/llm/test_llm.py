@@ -292,6 +292,23 @@ def test_benchmarks_in_blocks(spark, monkeypatch):
     assert len(decontam.blocks(bench, "item_id", "text")) > 2 and sorted(map(tuple, decontam.contamination(d, bench).collect())) == one
 
 
+def test_benchmarks_by_join(spark, monkeypatch, odd):
+    """The join of seeds finds what blocks find, rows and items that repeat included, and the same documents go."""
+    bench = spark.createDataFrame([*enumerate(ITEMS), (1, ITEMS[1]), (9, None), (8, "")], "item_id long, text string")
+    w = ITEMS[1].split()
+    w[7], w[20] = "other", "words"
+    rows = [(k, t) for k, t in enumerate(ITEMS)] + [(None, " ".join(w)), (None, " ".join(w)), (20, ITEMS[0] + " " + LONG + " " + ITEMS[2]), (21, None), (22, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(map(tuple, decontam.contamination(d, bench).collect()), key=str)
+    kept = sorted((tuple(r) for r in decontam.clean(odd.select("doc_id", "text").unionByName(d), bench).collect()), key=str)
+    assert len(one) >= 10
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 50)
+    monkeypatch.setattr(decontam, "MAX_BLOCKS", 1)
+    assert sorted(map(tuple, decontam.contamination(d, bench).collect()), key=str) == one
+    assert sorted((tuple(r) for r in decontam.clean(odd.select("doc_id", "text").unionByName(d), bench).collect()), key=str) == kept
+    assert decontam.contamination(d.limit(0), bench).count() == 0
+
+
 def brute_stretch(same):
     """(equal, -length, -start) of the best stretch with four in five equal, by trying all."""
     n = len(same)
