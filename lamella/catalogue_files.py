@@ -142,6 +142,22 @@ def count_filtered(spark, sf_dir):
     return pruning.filtered_count(spark, grouped(spark, sf_dir), P.eq("day", DAY), ("statistics", "column_index"))
 
 
+@facts(less="True", matching="True", files=1)
+def scan_metrics(spark, sf_dir):
+    """With statistics a selective scan takes fewer rows from the file than the file has; all that match are among them."""
+    path = grouped(spark, sf_dir)
+    r = Reader(spark, path).where(P.eq("month", "1998-06"))
+    m, n = tables.read_metrics(r.read()), spark.read.parquet(path).count()
+    return {"less": m["rows_scanned"] < n, "matching": m["rows_out"] == r.read().count() <= m["rows_scanned"], "files": m["files"]}
+
+
+@query("SELECT r_regionkey, upper(r_name) AS r_name FROM region WHERE r_regionkey <> 2")
+def read_and_write_hooks(spark, sf_dir):
+    out = f"{work_dir(spark)}/hooks"
+    Writer(table(spark, sf_dir, "region")).via(lambda d: d.where("r_regionkey <> 2")).write(out)
+    return Reader(spark, out).via(lambda d: d.withColumn("r_name", F.upper("r_name"))).read()
+
+
 @query(f"SELECT l_orderkey, l_linenumber, row_group FROM {ROWS}")
 def row_group_ordinals(spark, sf_dir):
     return footers.with_row_group(spark, grouped(spark, sf_dir)).select("l_orderkey", "l_linenumber", "row_group")

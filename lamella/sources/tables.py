@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -33,6 +34,7 @@ class Reader:
     row_index: bool = False
     recursive: bool = False
     options: dict[str, str] = field(default_factory=dict)
+    hooks: tuple[Callable[[DataFrame], DataFrame], ...] = ()
 
     def where(self, p: Predicate) -> Reader:
         return replace(self, predicate=p if self.predicate is None else self.predicate & p)
@@ -54,6 +56,10 @@ class Reader:
     def option(self, key: str, value: str) -> Reader:
         return replace(self, options={**self.options, key: str(value)})
 
+    def via(self, hook: Callable[[DataFrame], DataFrame]) -> Reader:
+        """Pass what is read through a function, after filters and projections: it sees the schema and decides on records."""
+        return replace(self, hooks=(*self.hooks, hook))
+
     def use(self, level: str, on: bool) -> Reader:
         """Turn a level of filtering on or off; results stay the same unless the record level goes."""
         if level == "record":
@@ -74,7 +80,8 @@ class Reader:
             df = with_missing(df, self.schema) if set(self.schema.names) - set(df.columns) else project(df, self.schema)
         if self.wanted_paths:
             df = select_paths(df, *self.wanted_paths)
-        return select_globs(df, *self.wanted_globs) if self.wanted_globs else df
+        df = select_globs(df, *self.wanted_globs) if self.wanted_globs else df
+        return reduce(lambda d, hook: hook(d), self.hooks, df)
 
 
 def missing_columns(df: DataFrame, p: Predicate) -> list[str]:
@@ -97,6 +104,11 @@ class Writer:
     df: DataFrame
     options: dict[str, str] = field(default_factory=dict)
     schema: T.StructType | None = None
+    hooks: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+
+    def via(self, hook: Callable[[DataFrame], DataFrame]) -> Writer:
+        """Pass what is written through a function first."""
+        return replace(self, hooks=(*self.hooks, hook))
 
     def set(self, name: str, value, column: str | None = None) -> Writer:
         key = WRITER[name] + (f"#{column}" if column else "")
@@ -107,7 +119,7 @@ class Writer:
         return replace(self, schema=schema)
 
     def write(self, path: str, *, overwrite: bool = False, partition_by: tuple[str, ...] = ()) -> None:
-        df = self.df
+        df = reduce(lambda d, hook: hook(d), self.hooks, self.df)
         if self.schema is not None:
             for f in self.schema.fields:
                 if f.name not in df.columns or df.schema[f.name].dataType != f.dataType:
@@ -157,3 +169,28 @@ def splits(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
 def filter_column(df: DataFrame, p: Predicate, name: str = "matches") -> DataFrame:
     """df with whether each row satisfies p: true or false, never null."""
     return df.withColumn(name, F.coalesce(compile_predicate(p, df.schema), F.lit(False)))
+
+
+def read_metrics(df: DataFrame) -> dict[str, int]:
+    """What scanning df took, after running it once for its number of rows: files, bytes and rows of the scans, by Spark's own counts."""
+    plan = df._jdf.queryExecution().executedPlan()
+    rows = df._jdf.queryExecution().toRdd().count()
+    out = {"rows_out": int(rows), "files": 0, "bytes": 0, "rows_scanned": 0}
+    names = {"numFiles": "files", "filesSize": "bytes", "numOutputRows": "rows_scanned"}
+
+    def walk(node) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "FileSourceScanExec":
+            for theirs, ours in names.items():
+                found = node.metrics().get(theirs)
+                out[ours] += int(found.get().value()) if found.isDefined() else 0
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(plan)
+    return out
