@@ -121,7 +121,9 @@ runs AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS e FROM (SELECT doc_id, i, s
 gaps AS (SELECT r.doc_id, lag(e, 1, 0) OVER w + 1 AS s, a - 1 AS e FROM runs r WINDOW w AS (PARTITION BY r.doc_id ORDER BY a)
   UNION ALL SELECT d.doc_id, coalesce((SELECT max(e) FROM runs r WHERE r.doc_id = d.doc_id), 0) + 1, octet_length(b) FROM d),
 kept AS (SELECT g.doc_id, coalesce(string_agg(hex(b[s : e]), '' ORDER BY s) FILTER (e >= s), '') AS x FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id),
+short AS (SELECT doc_id, md5(b[i : i + 279]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 278)) AS i FROM d WHERE octet_length(b) >= 280)),
+told AS (SELECT DISTINCT doc_id FROM short WHERE h IN (SELECT h FROM short GROUP BY h HAVING count(*) > 1)),
 lost AS (SELECT doc_id, sum(e - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
-SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256, coalesce(n_removed, 0) > 0 AS repeats
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256, doc_id IN (SELECT doc_id FROM told) AS has_repeats
 FROM d JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """

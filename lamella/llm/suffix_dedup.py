@@ -28,6 +28,8 @@ from .mph import mix64
 from .shingles import chunks, texts_of
 
 LENGTH, PART = 400, 200
+#: Bytes of a shorter string whose repetition is told of a text, though nothing is removed for it: fifty words or so.
+PASSAGE = 280
 #: Distinct spans of one anchor string that are compared in one block; more are cut into parts. Bytes of spans in a block.
 MAX_SPANS, BLOCK = 500, 1 << 18
 #: Strings of a part, at the first and the second cut.
@@ -281,9 +283,10 @@ def compared(hit: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return spans.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "t binary, a int, b int")
 
 
-def repeats(docs: DataFrame, texts: DataFrame, *, length: int = LENGTH, part: int = PART, keep_first: bool = False) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, texts: DataFrame, *, length: int = LENGTH, part: int = PART, keep_first: bool = False, decided: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(hit, ranges) for docs (d, t, text) and their distinct texts (t, d): the texts with strings that may repeat elsewhere, and the ranges of
-    those that do: t, a, b (strings that start at a to b). With keep_first only strings with an earlier match count. Copies of whole texts are not looked at."""
+    those that do: t, a, b (strings that start at a to b). With keep_first only strings with an earlier match count. Copies of whole texts are not looked at.
+    With decided (t) only whether other texts have a range is asked: groups in which no such text is left open are not compared."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, bytes]] = set()
@@ -294,6 +297,10 @@ def repeats(docs: DataFrame, texts: DataFrame, *, length: int = LENGTH, part: in
     for step in (*STEPS, None):
         marks = stored(judged(spans, texts, keep_first))
         found.append(marks.where(F.col("state").bitwiseAND(WHOLE) > 0).select("t", F.col("lo").alias("a"), F.col("hi").alias("b")))
+        if hit is None and decided is not None:
+            done = decided.select("t").unionAll(marks.where(F.col("state").bitwiseAND(WHOLE) > 0).select("t")).distinct()
+            open_groups = marks.where(F.col("state").bitwiseAND(COMPARE + CUT) > 0).join(done, "t", "left_anti").select("h").distinct()
+            marks = stored(marks.join(open_groups, "h", "left_semi").select(marks.columns))
         if hit is None:
             some = stored(per_text(marks).join(texts.select("t", "d"), "t"))
             rows = kept_by(docs.select("d", "t", "text"), bitfilter.build(some.select("t")), "t")
@@ -314,18 +321,20 @@ def repeats(docs: DataFrame, texts: DataFrame, *, length: int = LENGTH, part: in
     return hit, reduce(DataFrame.unionAll, found)
 
 
-def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, keep_first: bool = False, texts: bool = True) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether anything is removed) and, with texts, kept_text (what is left, as bytes: a removed string may end within a character).
+def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, part: int = PART, keep_first: bool = False, texts: bool = True, passage: int | None = PASSAGE) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats and, with texts, kept_text (what is left, as bytes: a removed string may end within a character).
 
-    A byte goes if a string of length bytes that covers it also starts anywhere else in the table, the same text
+    has_repeats tells whether any string of passage bytes (None: of length bytes) of the text also starts anywhere else in the table; such strings are found in the
+    same way, and nothing is removed for them. A byte goes if a string of length bytes that covers it also starts anywhere else in the table, the same text
     included; with keep_first, if it starts earlier in the order of doc_id and place. Texts are judged as they came. Null texts are empty; short ones lose nothing;
     repeated rows are copies of each other, and with keep_first fare alike; other columns are not read; an empty table gives an empty result.
     """
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), d.alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", identity())
-    long = docs.where(F.octet_length("text") >= length)
+    passage = passage or length
+    long = docs.where(F.octet_length("text") >= min(length, passage))
     whole = stored(long.groupBy("t").agg(F.min("d").alias("d"), F.count("*").alias("n")))
-    hit, ranges = repeats(long, whole, length=length, part=part, keep_first=keep_first)
+    hit, ranges = repeats(long.where(F.octet_length("text") >= length), whole, length=length, part=part, keep_first=keep_first)
     per_doc = ranges.groupBy("t").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     cuts = hit.join(per_doc, "t").select("t", "text", "a", "b")
     schema = "t binary, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * texts
@@ -346,14 +355,18 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
             columns = [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())] + [pa.array([r[3] for r in out], pa.binary())] * texts
             yield pa.RecordBatch.from_arrays([s.column(0), *columns], names)
 
-    lost = cuts.mapInArrow(remove, schema)
-    # one row per text that loses anything or has copies
-    fate = stored(whole.where("n > 1").join(lost, "t", "full"))
-    fate = fate.select(F.col("t").alias("t2"), F.col("d").alias("first"), "n", *(F.col(c).alias(f"cut_{c}") for c in names[1:]))
+    lost = stored(cuts.mapInArrow(remove, schema))
+    told_of = lost.select("t")
+    if passage < length:
+        known = stored(lost.select("t").unionAll(whole.where("n > 1").select("t")).distinct())
+        told_of = told_of.unionAll(repeats(long, whole, length=passage, part=passage // 2, decided=known)[1].select("t"))
+    # one row per text that loses anything, has copies or holds a passage that repeats
+    fate = stored(whole.where("n > 1").join(lost, "t", "full").join(told_of.distinct().withColumn("told", F.lit(True)), "t", "full"))
+    fate = fate.select(F.col("t").alias("t2"), F.col("d").alias("first"), "n", "told", *(F.col(c).alias(f"cut_{c}") for c in names[1:]))
     t = F.col("text").cast("binary")
     rows = docs.select("doc_id", "d", "t", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(t, 256).alias("plain_sha256"), *([t.alias("plain_text")] * texts))
     r = rows.join(fate, F.col("t") == F.col("t2"), "left")
-    all_ = F.col("n").isNotNull() & ((F.col("d") != F.col("first")) if keep_first else F.lit(True))
+    all_ = F.col("n").isNotNull() & (F.col("n_bytes") >= length) & ((F.col("d") != F.col("first")) if keep_first else F.lit(True))
 
     def told(c: str, everything: Column, nothing: Column) -> Column:
         return F.when(all_, everything).otherwise(F.coalesce(F.col(f"cut_{c}"), nothing)).alias(c)
@@ -362,4 +375,5 @@ def removals(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", len
     out = [told("n_removed", F.col("n_bytes"), none), told("n_spans", F.lit(1).cast("long"), none), told("kept_sha256", F.lit(hashlib.sha256(b"").hexdigest()), F.col("plain_sha256"))]
     if texts:
         out.append(told("kept_text", F.lit(b""), F.col("plain_text")))
-    return r.select("doc_id", "n_bytes", *out).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), *(["kept_text"] * texts))
+    has = (F.col("told").isNotNull() | F.col("n").isNotNull()).alias("has_repeats")
+    return r.select("doc_id", "n_bytes", *out[:3], has, *out[3:])

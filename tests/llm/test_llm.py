@@ -116,6 +116,20 @@ def test_large_groups_are_cut_twice(spark, monkeypatch):
         assert removed(d, length=120, part=60) == want
 
 
+def test_shorter_passages_are_told(spark):
+    """Texts that share a string of 40 bytes are told, whatever is removed for strings of 120."""
+    r = random.Random(12)
+    bits = [prose(9, k) for k in range(12)]
+    rows = [(i, " ".join(r.choice(bits) if r.random() < 0.25 else prose(r.randint(1, 9), r.random()) for _ in range(r.randint(0, 6)))) for i in range(90)]
+    rows += [(95, prose(30, 81) + "x"), (96, "y" + prose(30, 81)), (97, "ab" * 20), (98, prose(8, 82)), (99, prose(8, 82)), (100, prose(4, 83)), (101, prose(4, 83))]
+    seen = collections.Counter(b[i : i + 40] for _, t in rows for b in [t.encode()] for i in range(len(b) - 39))
+    want = {i: any(seen[t.encode()[k : k + 40]] > 1 for k in range(len(t.encode()) - 39)) for i, t in rows}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_dedup.removals(d, length=120, part=60, passage=40).collect()
+    assert {r["doc_id"]: r["has_repeats"] for r in out} == want and 20 < sum(want.values()) < 80
+    assert removed(d, length=120, part=60) == brute_removals(rows, 120)
+
+
 def test_keep_first(spark):
     a = prose(150, 9)
     d = spark.createDataFrame([(1, prose(20, 1) + a), (2, prose(30, 2) + a), (3, a)], "doc_id long, text string")
