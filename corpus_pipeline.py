@@ -1,6 +1,8 @@
 """The corpus pipeline: documents in, id shards out, in five stages, each written and read again as the next one's documents.
 
-Part of the training-data subpackage; only the last stage returns other columns than those of documents.
+Part of the training-data subpackage; only the last stage returns other columns than those of documents. Other columns of the input are
+not carried, whatever their names. Every stage gives an empty result for an empty table; rows with a null in lang, source or n_chars pass
+like others. What odd ids and texts give, each stage says.
 """
 
 from __future__ import annotations
@@ -16,13 +18,19 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and the likelihood ratio; the model is fitted on this stage's own input."""
+    """Documents that pass the rules and the likelihood ratio; the model is fitted on this stage's own input.
+
+    Null, empty and blank texts fail, as texts of under 50 words do; very long ones are judged whole; repeated rows all stay or all go; rows without an id are judged like others.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.rate(docs, labels).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, those without an id last. A document is told by a 64-bit hash of id and text, and is kept once."""
+    """One document of each group: the one with the smallest doc_id, those without an id last. A document is told by a 64-bit hash of id and text, and is kept once.
+
+    Texts without words are in no group: each id's stays, once. Unlike texts of one id are documents of their own; of rows that tie, which are equal in id and text, one stays.
+    """
     d = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
     groups = near_dup.near_duplicates(d, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id").distinct()
     ids = d.select("row_key", "doc_id").distinct()
@@ -32,17 +40,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none and stay; repeated rows all stay or all go; whole texts are searched."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target share asks for."""
+    """Documents as often as their source's target share asks for. A null source is one of its own; rows with equal ids, null included, draw alike; texts are not looked at."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Id shards of all documents, and from them the place, size and checksum of each."""
+    """Id shards of all documents, and from them the place, size and checksum of each. Null and empty texts are the end id alone; null ids come first; repeated rows each have their place."""
     return id_shards.write_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
