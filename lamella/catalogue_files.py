@@ -18,7 +18,7 @@ from .functions import formatting, geo, infer, reports, schema_map, schema_text,
 from .operators import bloom, projection, rewrite, statistics
 from .operators import predicates as P
 from .plans import pruning
-from .sources import avro, footers, pages, tables, values
+from .sources import arrow_files, avro, footers, pages, tables, values
 from .sources.tables import Reader, Writer
 
 
@@ -479,6 +479,71 @@ def cli_prune_then_mask(spark, sf_dir):
     return spark.read.parquet(b)
 
 
+# Codecs and encodings by column, and encrypted files.
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_shipdate FROM lineitem")
+def column_encodings_roundtrip(spark, sf_dir):
+    """Each column in an encoding of its own, read back by row groups: Spark's batch reader does not know streams of split bytes."""
+    out = f"{work_dir(spark)}/enc"
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+    o = arrow_files.FileOptions(encodings={"l_orderkey": "DELTA_BINARY_PACKED", "l_quantity": "BYTE_STREAM_SPLIT", "l_returnflag": "DELTA_BYTE_ARRAY", "l_linenumber": "PLAIN"}, page_version="2.0")
+    arrow_files.write_files(d, out, o)
+    return footers.read_row_groups(spark, out, footers.row_groups(spark, out))
+
+
+@facts(codecs="[('n_name', 'GZIP'), ('n_nationkey', 'ZSTD'), ('n_regionkey', 'SNAPPY')]", encodings="[('DELTA_BINARY_PACKED', 'n_nationkey'), ('DELTA_LENGTH_BYTE_ARRAY', 'n_name'), ('RLE_DICTIONARY', 'n_regionkey')]", rows=25, checked="True", unknown="True")
+def codecs_and_encodings(spark, sf_dir):
+    out = f"{work_dir(spark)}/codecs"
+    d = table(spark, sf_dir, "nation").coalesce(1)
+    o = arrow_files.FileOptions(codecs={"n_nationkey": "zstd", "n_name": "gzip"}, levels={"n_nationkey": 7}, encodings={"n_nationkey": "DELTA_BINARY_PACKED", "n_name": "DELTA_LENGTH_BYTE_ARRAY"})
+    n = arrow_files.write_files(d, out, o)
+    data = pages.page_headers(spark, out).where("page_type <> 'DICTIONARY_PAGE'").select("encoding", "path").collect()
+    sums = pages.verify_checksums(spark, out).first()
+    return {
+        "codecs": sorted(tuple(r) for r in footers.chunk_catalog(spark, out).select("path", "codec").collect()), "encodings": sorted(tuple(r) for r in data), "rows": n,
+        "checked": sums["checked"] == sums["pages"] and not sums["bad"], "unknown": raised(lambda: arrow_files.write_files(d, f"{out}2", arrow_files.FileOptions(codecs={"zzz": "zstd"})), ValueError),
+    }
+
+
+MASTERS = {"foot": "000102030405060708090A0B0C0D0E0F", "one": "101112131415161718191A1B1C1D1E1F", "two": "202122232425262728292A2B2C2D2E2F"}
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def encrypted_files_roundtrip(spark, sf_dir):
+    """Two columns under keys of their own, the footer under a third."""
+    out = f"{work_dir(spark)}/crypt"
+    keys = arrow_files.Keys(MASTERS, "foot", {"one": ["s_name"], "two": ["s_acctbal"]})
+    arrow_files.write_files(table(spark, sf_dir, "supplier"), out, arrow_files.FileOptions(keys=keys))
+    return arrow_files.read_encrypted(spark, out, keys)
+
+
+@facts(mark="b'PARE'", spark_refuses="True", wrong_key="True", some_columns=5, other_columns="True", plain_footer="b'PAR1'", open_column=5, two_keys="True", no_key="True", wrapped="True")
+def encryption_rules(spark, sf_dir):
+    base = work_dir(spark)
+    d = table(spark, sf_dir, "region").coalesce(1)
+    keys = arrow_files.Keys(MASTERS, "foot", {"one": ["r_name"]})
+    write = lambda to, **k: arrow_files.write_files(d, f"{base}/{to}", arrow_files.FileOptions(keys=arrow_files.Keys(MASTERS, **k)))
+    write("hidden", footer="foot", columns={"one": ["r_name"]})
+    write("open", footer="foot", columns={"one": ["r_name"]}, plain_footer=True, double_wrapping=False, algorithm="AES_GCM_CTR_V1")
+
+    def last(to: str) -> bytes:
+        with footers.open_file(footers.list_files(spark, f"{base}/{to}").first()["file"]) as f:
+            f.seek(f.size() - 4)
+            return f.read(4)
+
+    half = arrow_files.Keys({"foot": MASTERS["foot"]})
+    key = T._parse_datatype_string("r_regionkey int")
+    name = T._parse_datatype_string("r_name string")
+    error = arrow_files.CryptoError
+    return {
+        "mark": last("hidden"), "spark_refuses": raised(lambda: spark.read.parquet(f"{base}/hidden").collect(), Exception), "wrong_key": raised(lambda: arrow_files.read_encrypted(spark, f"{base}/hidden", arrow_files.Keys({"foot": MASTERS["one"]}), key).collect(), Exception),
+        "some_columns": arrow_files.read_encrypted(spark, f"{base}/hidden", half, key).count(), "other_columns": raised(lambda: arrow_files.read_encrypted(spark, f"{base}/hidden", half, name).collect(), Exception), "plain_footer": last("open"),
+        "open_column": len(spark.read.schema("r_regionkey int").parquet(f"{base}/open").collect()), "two_keys": raised(lambda: write("x", footer="foot", columns={"one": ["r_name"], "two": ["r_name"]}), error), "no_key": raised(lambda: write("x", footer="nope", columns={"one": ["r_name"]}), error),
+        "wrapped": arrow_files.unwrap(arrow_files.wrap(b"k" * 16, b"m" * 16), b"m" * 16) == b"k" * 16 and raised(lambda: arrow_files.unwrap(arrow_files.wrap(b"k" * 16, b"m" * 16), b"n" * 16), error),
+    }
+
+
 # Variants and text.
 
 

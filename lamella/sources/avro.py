@@ -9,19 +9,18 @@ import datetime as dt
 import json
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 from typing import Any
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .footers import list_files, open_file
+from .parts import write_parts
 
 MAGIC = b"Obj\x01"
 #: Records of a block that is written, and of a batch that is read.
@@ -296,32 +295,21 @@ def write_avro(df: DataFrame, path: str, *, codec: str = "deflate") -> int:
     if codec not in ("null", "deflate"):
         raise AvroError(f"codec {codec} is not written")
     schema, names = avro_schema(df.schema), df.columns
-    fs, target = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
-    if fs.get_file_info(target).type != pafs.FileType.NotFound:
-        raise FileExistsError(path)
-    aside = f"{path.rstrip('/')}/_part-{uuid.uuid4().hex}"
-    fs.create_dir(f"{target.rstrip('/')}/{aside.rsplit('/', 1)[1]}", recursive=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        write, sync, n, name = encoder(schema), os.urandom(16), 0, f"part-{uuid.uuid4().hex}.avro"
-        own, folder = pafs.FileSystem.from_uri(aside) if "://" in aside else (pafs.LocalFileSystem(), aside.removeprefix("file:"))
+    def part(batches: Iterator[pa.RecordBatch], out) -> int:
+        write, sync, n = encoder(schema), os.urandom(16), 0
         meta = {"avro.schema": json.dumps(schema).encode(), "avro.codec": codec.encode()}
-        with own.open_output_stream(f"{folder}/{name}") as out:
-            out.write(MAGIC + zigzag(len(meta)) + b"".join(zigzag(len(k)) + k.encode() + zigzag(len(v)) + v for k, v in meta.items()) + b"\x00" + sync)
-            for b in batches:
-                for lo in range(0, b.num_rows, BLOCK_ROWS):
-                    part = b.slice(lo, BLOCK_ROWS)
-                    rows = zip(*(c.to_pylist() for c in part.columns), strict=True)
-                    raw = b"".join(write(dict(zip(names, r, strict=True))) for r in rows)
-                    if codec == "deflate":
-                        z = zlib.compressobj(6, zlib.DEFLATED, -15)
-                        raw = z.compress(raw) + z.flush()
-                    out.write(zigzag(part.num_rows) + zigzag(len(raw)) + raw + sync)
-                    n += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "n"])
-
-    made = df.mapInArrow(run, "name string, n long").collect()  # a line per file
-    for r in made:
-        fs.move(f"{target.rstrip('/')}/{aside.rsplit('/', 1)[1]}/{r['name']}", f"{target.rstrip('/')}/{r['name']}")
-    fs.delete_dir(f"{target.rstrip('/')}/{aside.rsplit('/', 1)[1]}")
-    return sum(r["n"] for r in made)
+        out.write(MAGIC + zigzag(len(meta)) + b"".join(zigzag(len(k)) + k.encode() + zigzag(len(v)) + v for k, v in meta.items()) + b"\x00" + sync)
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK_ROWS):
+                block = b.slice(lo, BLOCK_ROWS)
+                rows = zip(*(c.to_pylist() for c in block.columns), strict=True)
+                raw = b"".join(write(dict(zip(names, r, strict=True))) for r in rows)
+                if codec == "deflate":
+                    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+                    raw = z.compress(raw) + z.flush()
+                out.write(zigzag(block.num_rows) + zigzag(len(raw)) + raw + sync)
+                n += block.num_rows
+        return n
+
+    return write_parts(df, path, ".avro", part)
