@@ -151,6 +151,11 @@ def scan_metrics(spark, sf_dir):
     return {"less": m["rows_scanned"] < n, "matching": m["rows_out"] == r.read().count() <= m["rows_scanned"], "files": m["files"]}
 
 
+@query("SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, row_number() OVER () AS rn FROM orders) WHERE rn BETWEEN 101 AND 150")
+def page_by_position(spark, sf_dir):
+    return tables.page(spark, f"{sf_dir}/orders.parquet", 101, 50, "o_orderkey", "o_custkey")
+
+
 @query("SELECT r_regionkey, upper(r_name) AS r_name FROM region WHERE r_regionkey <> 2")
 def read_and_write_hooks(spark, sf_dir):
     out = f"{work_dir(spark)}/hooks"
@@ -471,6 +476,20 @@ def rewrite_rules(spark, sf_dir):
     }
 
 
+@facts(rows=25, columns="['n_name', 'key', 'r']", metadata="mine", writers="True", codec="['ZSTD']")
+def rewrite_metadata(spark, sf_dir):
+    """Key-value metadata and writers of both sides of a join reach the new footers."""
+    base = work_dir(spark)
+    d = table(spark, sf_dir, "nation").coalesce(1)
+    arrow_files.write_files(d.select("n_nationkey", "n_name"), f"{base}/a", arrow_files.FileOptions(metadata={"own": "mine"}))
+    d.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("key")).write.parquet(f"{base}/b")
+    o = rewrite.RewriteOptions([f"{base}/a"], f"{base}/c", join=f"{base}/b", prune=["n_nationkey"], codec="ZSTD")
+    n = rewrite.rewrite_with_metadata(spark, o)
+    f = footers.file_catalog(spark, f"{base}/c").where("n_rows > 0").first()
+    said = json.loads(f["key_values"])
+    return {"rows": n, "columns": sorted(spark.read.parquet(f"{base}/c").columns, key=["n_name", "key", "r"].index), "metadata": said["own"], "writers": "parquet-cpp" in said["original.created.by"] and "parquet-mr" in said["original.created.by"], "codec": sorted({r["codec"] for r in footers.chunk_catalog(spark, f"{base}/c").select("codec").collect()})}
+
+
 @query("SELECT n_nationkey, NULL::VARCHAR AS n_name FROM nation")
 def cli_prune_then_mask(spark, sf_dir):
     a, b = f"{work_dir(spark)}/a", f"{work_dir(spark)}/b"

@@ -262,3 +262,16 @@ def rewrite(spark: SparkSession, o: RewriteOptions) -> None:
 
 def recompress(spark: SparkSession, source: str, output: str, codec: str) -> None:
     rewrite(spark, RewriteOptions([source], output, codec=codec))
+
+
+#: Metadata that describes a file's own schema: wrong for what is made of it.
+OWN = ("org.apache.spark.sql.parquet.row.metadata", "org.apache.spark.version", "ARROW:schema", "pandas")
+
+
+def rewrite_with_metadata(spark: SparkSession, o: RewriteOptions) -> int:
+    """rewrite() that carries the key-value metadata of inputs and joined files, and their writers, into the new footers; through Arrow, as Spark's writer takes none. The number of rows."""
+    from ..sources.arrow_files import FileOptions, write_files
+
+    kept = {k: v for k, v in provenance(spark, [*o.inputs, *([o.join] if o.join else [])]).items() if k not in OWN}
+    codec = {None: "snappy", "UNCOMPRESSED": "none", "LZ4_RAW": "lz4"}.get(o.codec and o.codec.upper(), (o.codec or "").lower())
+    return write_files(rewritten(spark, o), o.output, FileOptions(codec=codec, metadata=kept))

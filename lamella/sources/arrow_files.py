@@ -102,7 +102,7 @@ class Keys:
 
 @dataclass(frozen=True)
 class FileOptions:
-    """codec for all columns or codecs by column, with levels; encodings by column, others with dictionaries; keys to encrypt under."""
+    """codec for all columns or codecs by column, with levels; encodings by column, others with dictionaries; keys to encrypt under; key-value metadata for the footers."""
 
     codec: str = "snappy"
     codecs: dict[str, str] = field(default_factory=dict)
@@ -112,6 +112,7 @@ class FileOptions:
     page_version: str = "1.0"
     checksums: bool = True
     keys: Keys | None = None
+    metadata: dict[str, str] = field(default_factory=dict)
 
 
 def write_files(df: DataFrame, path: str, o: FileOptions | None = None) -> int:
@@ -127,7 +128,7 @@ def write_files(df: DataFrame, path: str, o: FileOptions | None = None) -> int:
     def write(batches: Iterator[pa.RecordBatch], out) -> int:
         n, held = 0, []
         factory, crypt = o.keys.encryption() if o.keys is not None else (None, None)
-        w = pq.ParquetWriter(out, schema, compression=codecs, compression_level=o.levels or None, use_dictionary=[c for c in df_columns if c not in o.encodings], column_encoding=o.encodings or None, data_page_version=o.page_version, write_page_checksum=o.checksums, encryption_properties=crypt)
+        w = pq.ParquetWriter(out, schema.with_metadata(o.metadata or None), compression=codecs, compression_level=o.levels or None, use_dictionary=[c for c in df_columns if c not in o.encodings], column_encoding=o.encodings or None, data_page_version=o.page_version, write_page_checksum=o.checksums, encryption_properties=crypt)
         with w:
             for b in batches:
                 b = pa.RecordBatch.from_arrays([fitted(c, f.type) for c, f in zip(b.columns, schema, strict=True)], schema=schema)
