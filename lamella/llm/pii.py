@@ -12,6 +12,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -178,6 +179,12 @@ def train(table: list[tuple[list[str], list[str]]] | None = None) -> Crf:
     return Crf(SLOTS * BUCKET, len(LABELS)).fit(x, y, length)
 
 
+@cache
+def trained() -> Crf:
+    """The field of the labelled table, trained once in a driver."""
+    return train()
+
+
 #: Words around a trigger that go with it, and the longest sequence; longer runs of triggers are decoded in pieces.
 AROUND, LONGEST = 3, 64
 #: Words at a cut that two pieces share; each piece tells the labels of its half of them, so a word has as many neighbours at least as half of these.
@@ -259,7 +266,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", field:
 
     Null and empty texts have no spans; each row stands by itself, repeated ones alike; no shuffle; other columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(field or train())
+    held = docs.sparkSession.sparkContext.broadcast(field or trained())
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, text_key long"
     names = [x.split()[0] for x in schema.split(", ")]
 
