@@ -5,11 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 class Crf:
     """Emissions are sums of the weights of a token's features (one id per feature slot); transitions and starts have weights too."""
 
@@ -26,23 +21,28 @@ class Crf:
         live = np.arange(top)[None] < length[:, None]
         gold = np.eye(labels)[y] * live[..., None]
         pair = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
+        flat = x.ravel()
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.w, self.t, self.s)]
         for step in range(1, rounds + 1):
             e = self.emissions(x)
-            a, b = np.zeros((n, top, labels)), np.zeros((n, top, labels))
-            a[:, 0] = self.s + e[:, 0]
+            e = np.exp(e - e.max(-1, keepdims=True))
+            m = np.exp(self.t)
+            # forward and backward sums, scaled to one at each token, which cancels in the marginals
+            a, b, c = np.zeros((n, top, labels)), np.ones((n, top, labels)), np.ones((n, top, 1))
+            first = np.exp(self.s - self.s.max()) * e[:, 0]
+            a[:, 0] = first / first.sum(-1, keepdims=True)
             for k in range(1, top):
-                a[:, k] = np.where(live[:, k, None], _lse(a[:, k - 1, :, None] + self.t, 1) + e[:, k], a[:, k - 1])
-            z = _lse(a[:, -1], 1)
-            for k in range(top - 2, -1, -1):
-                b[:, k] = np.where(live[:, k + 1, None], _lse(self.t + (e[:, k + 1] + b[:, k + 1])[:, None], 2), 0)
-            p = np.exp(a + b - z[:, None, None]) * live[..., None]
+                here = (a[:, k - 1] @ m) * e[:, k]
+                c[:, k] = np.where(live[:, k, None], here.sum(-1, keepdims=True), 1)
+                a[:, k] = np.where(live[:, k, None], here / c[:, k], a[:, k - 1])
             both = np.zeros_like(self.t)
-            for k in range(1, top):
-                q = np.exp(a[:, k - 1, :, None] + self.t + (e[:, k] + b[:, k])[:, None] - z[:, None, None])
-                both += (q * live[:, k, None, None]).sum(0)
-            gw = np.zeros_like(self.w)
-            np.add.at(gw, x, np.broadcast_to((gold - p)[:, :, None], (*x.shape, labels)))
+            for k in range(top - 1, 0, -1):
+                after = e[:, k] * b[:, k] / c[:, k] * live[:, k, None]
+                both += a[:, k - 1].T @ after * m
+                b[:, k - 1] = np.where(live[:, k, None], after @ m.T, 1)
+            p = a * b * live[..., None]
+            miss = np.repeat((gold - p).reshape(-1, labels), x.shape[2], axis=0)
+            gw = np.stack([np.bincount(flat, miss[:, k], len(self.w)) for k in range(labels)], axis=1)
             for k, (v, g) in enumerate(((self.w, gw), (self.t, pair - both), (self.s, (gold[:, 0] - p[:, 0]).sum(0)))):
                 g = g / n - decay * v
                 m, u = state[k]
