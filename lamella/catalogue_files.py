@@ -375,6 +375,36 @@ def predicate_validation(spark, sf_dir):
     }
 
 
+class Vowels:
+    """A predicate as a class: names that begin with a vowel; null passes."""
+
+    accepts_null = True
+
+    def keep(self, s):
+        return s.str[0].isin(list("AEIOU"))
+
+    def can_drop(self, low, high):
+        return low > "V"
+
+
+@query("SELECT p_partkey FROM part WHERE p_name IS NOT NULL AND left(upper(p_name), 1) IN ('A', 'E', 'I', 'O', 'U') OR p_size = 3")
+def flt_udp_class(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") != 3, F.upper("p_name")).alias("name"))
+    return P.apply_filter(d, P.user_defined("name", Vowels)).select("p_partkey")
+
+
+@facts(none=5, both="True", reverse="True", older=2, dropped="True")
+def reader_filters(spark, sf_dir):
+    """A scan takes a predicate or column functions, not both; None filters nothing."""
+    r = Reader(spark, f"{sf_dir}/region.parquet")
+    rule = P.column_filter("r_regionkey", lambda c: c < 2)
+    bad = lambda f: raised(f, P.PredicateError)
+    return {
+        "none": r.where(None).read().count(), "both": bad(lambda: r.where(P.eq("r_regionkey", 1)).where_columns(rule)), "reverse": bad(lambda: r.where_columns(rule).where(P.eq("r_regionkey", 1))),
+        "older": r.where_columns(rule).read().count(), "dropped": pruning.can_drop(P.user_defined("x", Vowels), {"x": pruning.Bounds(5, 0, "W", "Z")}),
+    }
+
+
 # Statistics, filters, geometry.
 
 

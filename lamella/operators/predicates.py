@@ -140,7 +140,14 @@ def contains(inner: Predicate) -> Predicate:
     return Contains(inner)
 
 
-def user_defined(column: str, keep: Callable, **more) -> Predicate:
+def user_defined(column: str, keep: Callable | type, **more) -> Predicate:
+    """A predicate from a function of a series, or from a class or an object with keep() and, where it has them, accepts_null, can_drop() and
+    inverse_can_drop(). A class is made without arguments."""
+    if isinstance(keep, type):
+        keep = keep()
+    if hasattr(keep, "keep"):
+        more = {k: getattr(keep, k) for k in ("accepts_null", "can_drop", "inverse_can_drop") if hasattr(keep, k)} | more
+        keep = keep.keep
     return UserDefined(column, keep, **more)
 
 

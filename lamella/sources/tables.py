@@ -7,12 +7,12 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..operators.predicates import Predicate, apply_filter, columns, compile_predicate, type_of
+from ..operators.predicates import Predicate, PredicateError, apply_filter, columns, compile_predicate, type_of
 from ..operators.projection import project, select_globs, select_paths, with_missing
 from .avro import read_avro
 from .footers import file_catalog, fitted, list_files, read_row_groups, row_groups, rows_between
@@ -37,8 +37,20 @@ class Reader:
     recursive: bool = False
     options: dict[str, str] = field(default_factory=dict)
     hooks: tuple[Callable[[DataFrame], DataFrame], ...] = ()
-
-    def where(self, p: Predicate) -> Reader:
+    rule: Callable[[DataFrame], Column] | None = None
+
+    def where_columns(self, rule: Callable[[DataFrame], Column]) -> Reader:
+        """Filter by column functions (see predicates.column_filter), the older style; a scan takes one style or the other."""
+        if self.predicate is not None or self.rule is not None:
+            raise PredicateError("a scan takes one filter: a predicate or column functions")
+        return replace(self, rule=rule)
+
+    def where(self, p: Predicate | None) -> Reader:
+        """Filter by a predicate, besides those given before; None filters nothing."""
+        if p is None:
+            return self
+        if self.rule is not None:
+            raise PredicateError("a scan takes one filter: a predicate or column functions")
         return replace(self, predicate=p if self.predicate is None else self.predicate & p)
 
     def with_schema(self, schema: T.StructType) -> Reader:
@@ -78,6 +90,8 @@ class Reader:
             df = df.select("*", F.col("_metadata.row_index").alias("row_index"))
         if self.predicate is not None and self.record_filter:
             df = apply_filter(df, self.predicate)
+        if self.rule is not None and self.record_filter:
+            df = df.where(self.rule(df))
         if self.schema is not None:
             df = with_missing(df, self.schema) if set(self.schema.names) - set(df.columns) else project(df, self.schema)
         if self.wanted_paths:
