@@ -8,6 +8,7 @@ differ between Unicode versions, and texts with added-token strings, go to the l
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import os
@@ -17,11 +18,12 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +98,14 @@ class Frequent:
     id_ends: np.ndarray
 
     @classmethod
-    def of(cls, pieces: list[str], ids: list[list[int]]) -> Frequent:
-        raw = [p.encode() for p in pieces]
-        return cls(b"".join(raw), np.cumsum([len(r) for r in raw], dtype=np.uint32), np.array([i for x in ids for i in x], np.uint32), np.cumsum([len(x) for x in ids], dtype=np.uint32))
+    def of(cls, pieces: pa.Array, encode) -> Frequent:
+        """From a binary array, value by value, so that the driver never holds them as objects."""
+        ids, ends = array.array("I"), array.array("I")
+        for p in pieces:
+            ids.extend(encode(p.as_py().decode()))
+            ends.append(len(ids))
+        sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+        return cls(b"".join(p.as_py() for p in pieces), np.cumsum(sizes, dtype=np.uint32), np.frombuffer(ids, np.uint32).copy(), np.frombuffer(ends, np.uint32).copy())
 
     def items(self) -> Iterator[tuple[str, list[int]]]:
         ids, a, b = self.ids.tolist(), 0, 0
@@ -128,9 +135,15 @@ def frequent(docs: DataFrame, text: str, tokenizer_json: str) -> Frequent:
     while least > 1 and often[least - 1] <= room:
         least, room = least - 1, room - often[least - 1]
     wanted = counts.where(F.col("n") >= least) if least <= RARE else counts.where(F.col("n") >= RARE).limit(MAX_FREQUENT)
-    pieces = sorted(bytes(r["piece"]).decode() for r in wanted.select("piece").collect())
-    e = Encoder(tokenizer_json, {}, list)
-    return Frequent.of(pieces, [e.ids(p) for p in pieces])
+    pieces = wanted.select("piece").toArrow().column(0).combine_chunks()
+    pieces = pieces.take(pc.array_sort_indices(pieces)) if len(pieces) else pa.array([], pa.binary())
+    return Frequent.of(pieces, driver_encoder(tokenizer_json).ids)
+
+
+@lru_cache(maxsize=1)
+def driver_encoder(tokenizer_json: str) -> Encoder:
+    """The driver's own encoder, made once."""
+    return Encoder(tokenizer_json, {}, list)
 
 
 def base_table(tokenizer_json: str) -> dict[str, list[int]]:

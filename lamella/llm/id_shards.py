@@ -127,9 +127,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, *, key: str = "doc_
     """
     spark = docs.sparkSession
     shared = bpe.Shared(docs, text, tokenizer_path)
-    from tokenizers import Tokenizer
-
-    width = 2 if max(Tokenizer.from_str(shared.source).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(bpe.driver_encoder(shared.source).tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.encoder(f"bytes{width}", lambda ids: array.array("H" if width == 2 else "I", ids).tobytes())
