@@ -57,7 +57,7 @@ def op9_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.rate(d, table(spark, sf_dir, "labels")).drop("text")
+    return quality.rate(d, table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
 @query

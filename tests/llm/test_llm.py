@@ -434,6 +434,70 @@ def test_bad_documents_go(spark):
     assert n[True, True] <= 2 and n[True, False] >= 15 and (False, False) not in n
 
 
+def brute_threshold(docs, labels):
+    """The threshold by lists: every labelled row that passes the rules, each scored without its part."""
+    parts, good = quality.fit_parts(docs, labels, text="text", key="doc_id", buckets=quality.BUCKETS)
+    part = {r["doc_id"]: r["p"] for r in good.select("doc_id", quality.part_of("doc_id").alias("p")).collect()}
+    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()} - set(part)
+    scores = [{r["doc_id"]: r["llr"] for r in quality.judge(docs, p).where("not base_failed").collect()} for p in parts]
+    return quality.threshold_between([scores[p][i] for i, p in part.items() if i in scores[0]], [scores[0][i] for i in bad if i in scores[0]])
+
+
+def test_threshold_takes_every_label(spark):
+    """Of 6,000 trusted rows the last 1,000 by hash are worded like most of the corpus: 99 % of all of them stay, not of the first 5,000."""
+    ids = sorted(range(6000), key=lambda i: (lambda x: x - (1 << 64) * (x >> 63))(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42)))
+    rng = random.Random(5)
+    text = lambda c: " ".join(f"{c}{rng.randrange(200)}" for _ in range(60))
+    rows = [(i, text("a" if k < 5000 else "b")) for k, i in enumerate(ids)] + [(i, text("b")) for i in range(6000, 8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.rate(docs, labels).collect()}
+    assert len(got) == 8000 and sum(got[i] for i in ids) >= 0.99 * 6000
+    assert got == {r["doc_id"]: r["kept"] for r in quality.rate(docs, labels, threshold=brute_threshold(docs, labels)).collect()}
+
+
+def test_model_takes_every_label(spark):
+    """A model of 20,001 trusted rows has the grams of the last by hash."""
+    last = max(range(20_001), key=lambda i: (lambda x: x - (1 << 64) * (x >> 63))(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42)))
+    docs = spark.range(20_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == last, "rare").otherwise("usual").alias("text"))
+    ratios = quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")), buckets=1 << 12)
+    assert set(ratios) == {0}
+
+
+def test_rank_is_exact(spark):
+    rng = random.Random(6)
+    for xs in ([0.5], [-1.0, -1.0, 2.0], [rng.choice([-0.25, 0.1, 0.1 + 1e-16, 0.3]) for _ in range(50)], [rng.gauss(0, 1) for _ in range(500)], [1e6, *(rng.random() * 1e-9 for _ in range(100))]):
+        rows = spark.createDataFrame([(x,) for x in xs], "x double")
+        for k in {0, len(xs) // 100, len(xs) // 2, len(xs) - 1}:
+            assert quality.at_rank(rows, "x", k) == sorted(xs)[k]
+
+
+@pytest.mark.parametrize("key_type", ["long", "string"])
+def test_labels_meet_documents(spark, monkeypatch, key_type):
+    """Each row gets its label's part, by bits that are sent and by a join, whatever the ids; repeated and contradictory labels count once, the trusted one first."""
+    ids = [-(2**63), -65, -64, -1, 0, 1, 63, 64, 127, 128, 2**63 - 1, None]
+    rows = [(i, int(k % 3 != 0), int(k % 5 == 0)) for k, i in enumerate(ids)] + [(0, 0, 0), (0, 1, None), (5, 1, 0), (64, None, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, 1) for i in [*ids, 0, 7]], "doc_id long, __w int").withColumn("doc_id", F.col("doc_id").cast(key_type))
+    labels = labels.withColumn("doc_id", F.col("doc_id").cast(key_type))
+    good = {i for i, q, t in rows if i is not None and q == 1 and not t}
+    bad = {i for i, q, t in rows if i is not None and q == 0} - good
+    want = sorted((str(i), "good" if i in good else "bad" if i in bad else "none") for i in [*ids, 0, 7])
+    for sent in (1 << 20, 0):
+        monkeypatch.setattr(quality, "MAX_SENT", sent)
+        out = quality.with_parts(docs, quality.label_keys(labels, "doc_id"), key="doc_id", part="p")
+        got = out.withColumn("own", quality.part_of("doc_id")).collect()
+        assert out.columns == ["doc_id", "__w", "p"] and all(r["p"] in (None, 0, r["own"]) for r in got)
+        assert sorted((str(r["doc_id"]), "none" if r["p"] is None else "good" if r["p"] else "bad") for r in got) == want
+
+
+def test_rate_carries_columns(spark, odd, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    assert quality.rate(odd, labels, carry=["h"]).columns == ["h", *quality.JUDGED]
+    assert quality.rate(odd, labels, threshold=0.0, carry=["h"]).columns == ["h", *quality.JUDGED]
+    assert quality.rate(odd, labels).columns == [*(c for c in odd.columns if c not in quality.JUDGED), *quality.JUDGED]
+
+
 # 6: chats
 
 
