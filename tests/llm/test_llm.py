@@ -443,14 +443,20 @@ def brute_threshold(docs, labels):
     return quality.threshold_between([scores[p][i] for i, p in part.items() if i in scores[0]], [scores[0][i] for i in bad if i in scores[0]])
 
 
-def test_threshold_takes_every_label(spark):
-    """Of 6,000 trusted rows the last 1,000 by hash are worded like most of the corpus: 99 % of all of them stay, not of the first 5,000."""
+def two_wordings(spark):
+    """6,000 trusted rows, of which the last 1,000 by hash are worded like 2,000 without a label; their ids, the documents and labels."""
     ids = sorted(range(6000), key=lambda i: (lambda x: x - (1 << 64) * (x >> 63))(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seed=42)))
     rng = random.Random(5)
     text = lambda c: " ".join(f"{c}{rng.randrange(200)}" for _ in range(60))
     rows = [(i, text("a" if k < 5000 else "b")) for k, i in enumerate(ids)] + [(i, text("b")) for i in range(6000, 8000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    return ids, docs, labels
+
+
+def test_threshold_takes_every_label(spark):
+    """99 % of all trusted rows stay, not of the first 5,000."""
+    ids, docs, labels = two_wordings(spark)
     got = {r["doc_id"]: r["kept"] for r in quality.rate(docs, labels).collect()}
     assert len(got) == 8000 and sum(got[i] for i in ids) >= 0.99 * 6000
     assert got == {r["doc_id"]: r["kept"] for r in quality.rate(docs, labels, threshold=brute_threshold(docs, labels)).collect()}
@@ -768,6 +774,17 @@ def test_pipeline_stages(spark, odd, none, small):
         docs = out
 
 
+def test_pipeline_takes_every_label(spark, tmp_path):
+    """Its threshold is that of all labels, and the documents come through whole."""
+    ids, docs, labels = two_wordings(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    out = corpus_pipeline.quality_rules(spark, docs.withColumn("llr", F.lit(9)), str(tmp_path))
+    kept = {r["doc_id"]: tuple(r) for r in out.collect()}
+    assert out.columns == corpus_pipeline.COLUMNS and sum(i in kept for i in ids) >= 0.99 * len(ids)
+    assert all(kept.get(r["doc_id"], tuple(r)) == tuple(r) for r in docs.collect())
+
+
 def test_pipeline_keeps_by_row(spark):
     """Unlike texts of one id all stay; rows without an id go if they are near any row that stays, and stay once if not."""
     own, other, alone = prose(100, 21), prose(100, 22), prose(100, 23)
