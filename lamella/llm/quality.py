@@ -159,13 +159,13 @@ def at_rank(rows: DataFrame, x: str, k: int) -> float:
 
 def threshold_of(rows: DataFrame, *, part: str, held: str) -> float:
     """The threshold by all labelled rows that pass the rules: trusted ones, each scored without its part, and bad ones, which no part has. rows: of judge() with parts."""
-    rows = rows.where(f"NOT base_failed AND `{part}` IS NOT NULL")
+    rows = rows.where("NOT base_failed")
     clean, bad = rows.where(F.col(part) > 0), rows.where(F.col(part) == 0)
     n = clean.count()
     if not n:
         return THRESHOLD
     least = at_rank(clean, held, int(MAX_LOSS * n))
-    best = bad.where(F.col(held) < least).agg(F.max(held)).first()[0]
+    best = bad.where(F.col("llr") < least).agg(F.max("llr")).first()[0]
     return ((least if best is None else best) + least) / 2
 
 
@@ -178,10 +178,10 @@ def judge(docs: DataFrame, ratios: list[int], *, text: str = "text", key: str =
 
     Null and empty texts have no words and fail; every row is judged by itself, so repeated rows and ties are judged alike. Columns of
     these names in docs are replaced; others stay. With part, ratios are those of all parts in turn, the column is with_parts()'s, and
-    held is a labelled row's score by the model without its part.
+    held is a trusted row's score by the model without its part.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")  # folded to one literal when the plan is made
+    table = lambda r: F.split(F.lit(",".join(map(str, r))), ",").cast("array<int>")  # noqa: E731, folded to one literal when the plan is made
     h, g, tri, order = (free_name(docs, x) for x in ("__h", "__g", "__tri", "__order"))
     buckets = len(ratios) // (PARTS + 1 if part else 1)
     d = docs.withColumn(h, hashes(F.col(text)))
@@ -192,17 +192,17 @@ def judge(docs: DataFrame, ratios: list[int], *, text: str = "text", key: str =
     ln = free_name(docs, "__lines")
     d = d.withColumn(g, grams(F.col(h), buckets)).withColumn(tri, windows(F.col(h))).withColumn(ln, lines).withColumn(order, in_order(F.col(tri)))
     n = F.size(h)
-    score = lambda at: F.aggregate(F.col(g), F.lit(0).cast("long"), lambda a, b: a + F.get(table, at(b))) / F.size(g) / UNIT
+    score = lambda r, at: F.aggregate(F.col(g), F.lit(0).cast("long"), lambda a, b: a + F.get(table(r), at(b))) / F.size(g) / UNIT
     out = {
         "n_words": n.cast("long"),
         "word_chars": F.length(plain).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size(ln) - F.size(F.array_distinct(ln))).cast("long"),
         "n_repeat_words": F.when(F.col(order).isNull(), F.lit(0)).otherwise(covered(F.col(order))).cast("long"),
-        "llr": F.when(n > 0, score(lambda b: b)),
+        "llr": F.when(n > 0, score(ratios[:buckets], lambda b: b)),
     }
     if part:
-        out[held] = F.when((n > 0) & F.col(part).isNotNull(), score(lambda b: b + F.col(part) * buckets))
+        out[held] = F.when((n > 0) & (F.col(part) > 0), score(ratios[buckets:], lambda b: b + (F.col(part) - 1) * buckets))
     names = [*out, "base_failed", "kept"]
     told = d.select(*(c for c in docs.columns if c not in names), *(c.alias(f"{h}_{n}") for n, c in out.items()))
     v = {n: F.col(f"{h}_{n}") for n in out}
@@ -215,7 +215,7 @@ def judge(docs: DataFrame, ratios: list[int], *, text: str = "text", key: str =
 def rate(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float | None = None, carry: list[str] | None = None) -> DataFrame:
     """judge() for all of docs by the model over all of them and all labels. carry: the columns of docs to keep, all if not given.
 
-    The threshold, unless given, comes from all labelled rows: every row is judged once and stored, with its held-out score if labelled, then the threshold is found
+    The threshold, unless given, comes from all labelled rows: every row is judged once and stored, with its held-out score if trusted, then the threshold is found
     and applied to what is stored. So carried columns have to be of types that Parquet holds.
     """
     carry = docs.columns if carry is None else carry
