@@ -50,3 +50,16 @@ def test_a_footer_is_read_once_a_run(spark, small):
     told = d.groupBy("g").count().collect()
     assert sorted((r["g"], r["count"]) for r in told) == [(g, 100) for g in range(10) if g != 4]
     assert d.selectExpr("spark_partition_id() AS p").distinct().count() == 1
+
+
+def test_byte_ranges_of_many_files(spark, small, duck):  # noqa: F811
+    agrees(spark, small, duck, "scan_byte_ranges")
+
+
+def test_byte_ranges_read_runs(spark, small):
+    """A range of one file's row groups is read by one task."""
+    path = catalogue_files.grouped(spark, small)
+    out = f"{catalogue.work_dir(spark)}/range"
+    spark.read.parquet(path).coalesce(1).write.option("parquet.block.row.count.limit", 100).parquet(out)
+    d = tables.Reader(spark, out).between(0, 1 << 62).read()
+    assert d.count() == 6000 and d.selectExpr("spark_partition_id() AS p").distinct().count() == 1
