@@ -63,3 +63,16 @@ def test_byte_ranges_read_runs(spark, small):
     spark.read.parquet(path).coalesce(1).write.option("parquet.block.row.count.limit", 100).parquet(out)
     d = tables.Reader(spark, out).between(0, 1 << 62).read()
     assert d.count() == 6000 and d.selectExpr("spark_partition_id() AS p").distinct().count() == 1
+
+
+def test_pages_count_on_through_row_groups_and_files(spark, small, duck):  # noqa: F811
+    from lamella.sources import pages
+
+    agrees(spark, small, duck, "column_index_report")
+    out = f"{catalogue.work_dir(spark)}/pages"
+    cut = tables.in_order(spark.range(4321).withColumnRenamed("id", "k"), f"{out}/ordered", "k")
+    tables.Writer(cut(2000)).set("page_rows", 100).set("row_group_rows", 500).write(f"{out}/t")
+    groups = footers.row_groups(spark, f"{out}/t")
+    assert sorted(r["n"] for r in groups.groupBy("file").agg({"row_group": "count"}).toDF("file", "n").collect()) == [1, 4, 4]
+    got = pages.through_files(pages.column_indexes(spark, f"{out}/t", ["k"]), groups).orderBy("page").collect()
+    assert [(r["page"], r["first_row"], r["min_value"]) for r in got] == [(n, 100 * n, str(100 * n)) for n in range(44)]
