@@ -76,3 +76,21 @@ def test_pages_count_on_through_row_groups_and_files(spark, small, duck):  # noq
     assert sorted(r["n"] for r in groups.groupBy("file").agg({"row_group": "count"}).toDF("file", "n").collect()) == [1, 4, 4]
     got = pages.through_files(pages.column_indexes(spark, f"{out}/t", ["k"]), groups).orderBy("page").collect()
     assert [(r["page"], r["first_row"], r["min_value"]) for r in got] == [(n, 100 * n, str(100 * n)) for n in range(44)]
+
+
+def test_the_layout_has_a_dictionary(spark, small, duck, tmp_path):  # noqa: F811
+    spark.read.parquet(f"{small}/lineitem.parquet").selectExpr("* EXCEPT (l_suppkey)", "monotonically_increasing_id() AS l_suppkey").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r["fact"]: r["found"] for r in catalogue.QUERIES["page_layout"](spark, str(tmp_path)).collect()}["dictionary"] == "True"
+
+
+def test_row_groups_of_arrow_files_are_whole(spark, tmp_path):
+    """Whatever the batches: the rest of one waits for the next."""
+    from lamella.sources import arrow_files
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        arrow_files.write_files(spark.range(2100).coalesce(1), str(tmp_path / "t"), arrow_files.FileOptions(row_group_rows=1000))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = footers.row_groups(spark, str(tmp_path / "t")).orderBy("row_group").collect()
+    assert [r["rg_rows"] for r in groups] == [1000, 1000, 100]
