@@ -78,6 +78,17 @@ def test_pages_count_on_through_row_groups_and_files(spark, small, duck):  # noq
     assert [(r["page"], r["first_row"], r["min_value"]) for r in got] == [(n, 100 * n, str(100 * n)) for n in range(44)]
 
 
+@pytest.mark.parametrize("name", ["prune_dictionary_eq", "prune_dictionary_in", "prune_dictionary_user_defined", "prune_dictionary_not_in", "prune_dictionary_none"])
+def test_keys_have_dictionaries_whatever_their_number(spark, small, duck, tmp_path, name):  # noqa: F811
+    """As many suppliers as rows: a dictionary of theirs saves no space, and the row groups that hold one are still told apart."""
+    import duckdb
+
+    spark.read.parquet(f"{small}/lineitem.parquet").selectExpr("* EXCEPT (l_suppkey)", "pmod(monotonically_increasing_id(), 3000) AS l_suppkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    agrees(spark, str(tmp_path), c, name)
+
+
 def test_the_layout_has_a_dictionary(spark, small, duck, tmp_path):  # noqa: F811
     spark.read.parquet(f"{small}/lineitem.parquet").selectExpr("* EXCEPT (l_suppkey)", "monotonically_increasing_id() AS l_suppkey").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert {r["fact"]: r["found"] for r in catalogue.QUERIES["page_layout"](spark, str(tmp_path)).collect()}["dictionary"] == "True"
