@@ -105,3 +105,43 @@ def test_row_groups_of_arrow_files_are_whole(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     groups = footers.row_groups(spark, str(tmp_path / "t")).orderBy("row_group").collect()
     assert [r["rg_rows"] for r in groups] == [1000, 1000, 100]
+
+
+def broken(spark, tmp_path, column, change):
+    """The problems that check_indexes() tells of a file whose column index of a column is changed in place: change(raw) of the same length."""
+    from lamella.sources import pages
+
+    out = tmp_path / "t"
+    d = spark.range(1000).selectExpr("id", "lpad(cast(id AS string), 4, '0') AS s", "cast(id AS decimal(30, 0)) AS d", "id >= 500 AS b", "array(id, id + 1) AS l", "IF(id < 100, NULL, lpad(cast(id AS string), 4, '0')) AS n").coalesce(1)
+    tables.Writer(d).set("page_rows", 100).set("codec", "none").write(str(out))
+    assert pages.check_indexes(spark, str(out)).count() == 0
+    file = next(out.glob("*.parquet"))
+    raw = bytearray(file.read_bytes())
+    with footers.open_file(str(file)) as f:
+        chunk = pages._footer(f)[4][0][1][["id", "s", "d", "b", "l", "n"].index(column)]
+    at, size = chunk[6], chunk[7]
+    new = change(bytes(raw[at : at + size]))
+    assert len(new) == size and new != raw[at : at + size]
+    raw[at : at + size] = new
+    file.write_bytes(raw)
+    next(out.glob(".*.parquet.crc")).unlink()
+    return {(r["path"], r["page"], r["problem"]) for r in pages.check_indexes(spark, str(out)).collect()}
+
+
+BROKEN = {
+    "text out of order": ("s", lambda raw: raw.replace(b"\x040300", b"\x040050"), {("s", 3, "bounds are not ascending")}),
+    "text above the values": ("s", lambda raw: raw.replace(b"\x040300", b"\x040301"), {("s", 3, "a value is below the least")}),
+    "text below the values": ("s", lambda raw: raw.replace(b"\x040399", b"\x040398"), {("s", 3, "a value is above the greatest")}),
+    "decimals": ("d", lambda raw: raw.replace((300).to_bytes(13, "big"), (299).to_bytes(13, "big")).replace((399).to_bytes(13, "big"), (298).to_bytes(13, "big")), {("d", 3, "the least value is above the greatest"), ("d", 3, "a value is above the greatest"), ("d", 3, "bounds are not ascending")}),
+    "numbers": ("id", lambda raw: raw.replace((399).to_bytes(8, "little"), (398).to_bytes(8, "little")), {("id", 3, "a value is above the greatest")}),
+    "elements of lists": ("l", lambda raw: raw.replace((300).to_bytes(8, "little"), (301).to_bytes(8, "little")), {("l.list.element", 3, "a value is below the least")}),
+    "booleans": ("b", lambda raw: raw.replace(b"\x01\x00" * 5 + b"\x01\x01" * 5, b"\x01\x01" + b"\x01\x00" * 4 + b"\x01\x01" * 5, 1), {("b", 0, "the least value is above the greatest"), ("b", 0, "a value is below the least"), ("b", 1, "bounds are not ascending")}),
+    "null counts": ("n", lambda raw: raw[::-1].replace(b"\xc8\x01"[::-1], b"\xc6\x01"[::-1], 1)[::-1], {("n", 0, "the null count is wrong")}),
+}
+
+
+@pytest.mark.parametrize("case", BROKEN)
+def test_broken_indexes_of_all_types_are_told(spark, tmp_path, case):
+    column, change, want = BROKEN[case]
+    got = broken(spark, tmp_path, column, change)
+    assert want <= got and {p for p, _, _ in got} == {p for p, _, _ in want}
