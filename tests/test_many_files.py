@@ -145,3 +145,8 @@ def test_broken_indexes_of_all_types_are_told(spark, tmp_path, case):
     column, change, want = BROKEN[case]
     got = broken(spark, tmp_path, column, change)
     assert want <= got and {p for p, _, _ in got} == {p for p, _, _ in want}
+
+
+@pytest.mark.parametrize("name", ["prune_bloom_others_keep", "prune_stats_eq_all_null", "footer_row_groups", "prune_stats_decimal", "prune_by_saved_summary", "read_two_row_groups", "prune_dictionary_not_eq", "prune_stats_eq_date", "prune_stats_nan", "prune_stats_not_in", "prune_stats_not_user_defined", "pages_range", "pages_nulls"])
+def test_row_groups_of_many_files_are_judged(spark, small, duck, name):  # noqa: F811
+    agrees(spark, small, duck, name)
