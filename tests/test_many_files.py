@@ -150,3 +150,15 @@ def test_broken_indexes_of_all_types_are_told(spark, tmp_path, case):
 @pytest.mark.parametrize("name", ["prune_bloom_others_keep", "prune_stats_eq_all_null", "footer_row_groups", "prune_stats_decimal", "prune_by_saved_summary", "read_two_row_groups", "prune_dictionary_not_eq", "prune_stats_eq_date", "prune_stats_nan", "prune_stats_not_in", "prune_stats_not_user_defined", "pages_range", "pages_nulls"])
 def test_row_groups_of_many_files_are_judged(spark, small, duck, name):  # noqa: F811
     agrees(spark, small, duck, name)
+
+
+def test_read_pruned_reads_runs(spark, small, duck):  # noqa: F811
+    """What is left of one file is read by one task, which opens it once."""
+    from lamella.operators import predicates as P
+    from lamella.plans import pruning
+
+    agrees(spark, small, duck, "read_pruned_rows")
+    out = f"{catalogue.work_dir(spark)}/left"
+    spark.range(3000).coalesce(1).write.option("parquet.block.row.count.limit", 100).parquet(out)
+    d = pruning.read_pruned(spark, out, P.gt_eq("id", 1000))
+    assert d.count() == 2000 and d.selectExpr("spark_partition_id() AS p").distinct().count() == 1
