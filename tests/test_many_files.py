@@ -162,3 +162,22 @@ def test_read_pruned_reads_runs(spark, small, duck):  # noqa: F811
     spark.range(3000).coalesce(1).write.option("parquet.block.row.count.limit", 100).parquet(out)
     d = pruning.read_pruned(spark, out, P.gt_eq("id", 1000))
     assert d.count() == 2000 and d.selectExpr("spark_partition_id() AS p").distinct().count() == 1
+
+
+def made(monkeypatch, spark, *modules) -> str:
+    """The folder that queries of these modules are made to write to."""
+    folder = catalogue.work_dir(spark)
+    for m in modules:
+        monkeypatch.setattr(m, "work_dir", lambda _: folder)
+    return folder
+
+
+def lengths(spark, path) -> list[int]:
+    return [r["n_rows"] for r in footers.file_catalog(spark, path).orderBy("file").collect()]
+
+
+def test_sorted_rows_are_written_by_many_tasks(spark, small, duck, monkeypatch):  # noqa: F811
+    out = made(monkeypatch, spark, catalogue)
+    agrees(spark, small, duck, "prune_row_groups")
+    n = lengths(spark, f"{out}/rg")
+    assert sum(n) == 6000 and len(n) > 3 and max(n) < 2 * ROWS
