@@ -181,3 +181,10 @@ def test_sorted_rows_are_written_by_many_tasks(spark, small, duck, monkeypatch):
     agrees(spark, small, duck, "prune_row_groups")
     n = lengths(spark, f"{out}/rg")
     assert sum(n) == 6000 and len(n) > 3 and max(n) < 2 * ROWS
+
+
+@pytest.mark.parametrize("name", ["rw_positional_join", "rw_positional_join_overwrite"])
+def test_halves_are_written_by_many_tasks(spark, small, duck, monkeypatch, name):  # noqa: F811
+    out = made(monkeypatch, spark, catalogue)
+    agrees(spark, small, duck, name)
+    assert lengths(spark, f"{out}/a") == lengths(spark, f"{out}/b") == [1000, 500]
