@@ -188,3 +188,13 @@ def test_halves_are_written_by_many_tasks(spark, small, duck, monkeypatch, name)
     out = made(monkeypatch, spark, catalogue)
     agrees(spark, small, duck, name)
     assert lengths(spark, f"{out}/a") == lengths(spark, f"{out}/b") == [1000, 500]
+
+
+def test_positions_are_joined_by_bounded_tasks(spark, small, duck, monkeypatch):  # noqa: F811
+    from lamella.operators import rewrite
+
+    monkeypatch.setattr(rewrite, "STRETCH", 100)
+    out = made(monkeypatch, spark, catalogue)
+    agrees(spark, small, duck, "rw_positional_join_frames")
+    d = rewrite.positional_join(spark.read.parquet(f"{out}/a"), spark.read.parquet(f"{out}/b"))
+    assert d.rdd.getNumPartitions() == 15 and d.count() == 1500
