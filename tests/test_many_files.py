@@ -198,3 +198,10 @@ def test_positions_are_joined_by_bounded_tasks(spark, small, duck, monkeypatch):
     agrees(spark, small, duck, "rw_positional_join_frames")
     d = rewrite.positional_join(spark.read.parquet(f"{out}/a"), spark.read.parquet(f"{out}/b"))
     assert d.rdd.getNumPartitions() == 15 and d.count() == 1500
+
+
+def test_unlike_files_are_written_by_many_tasks(spark, small, duck, monkeypatch):  # noqa: F811
+    out = made(monkeypatch, spark, catalogue_files)
+    agrees(spark, small, duck, "rw_join_files_unlike_bounds")
+    assert lengths(spark, f"{out}/a") == [500, 500, 500] and lengths(spark, f"{out}/b") == [1000, 500]
+    assert sorted(r["rg_rows"] for r in footers.row_groups(spark, f"{out}/b").collect()) == [300, 500, 700]
